@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses
+from . import licenses, mixing
 
-QUERIES = {"op2_license_scan": licenses.query}
-ORACLES = {"op2_license_scan": licenses.SQL}
+QUERIES = {"op2_license_scan": licenses.query, "op3_mixing": mixing.query}
+ORACLES = {"op2_license_scan": licenses.SQL, "op3_mixing": mixing.SQL}
