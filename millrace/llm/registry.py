@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing
+from . import licenses, mixing, packing
 
-QUERIES = {"op2_license_scan": licenses.query, "op3_mixing": mixing.query}
+QUERIES = {"op2_license_scan": licenses.query, "op3_mixing": mixing.query, "op6_packing": packing.query}
 ORACLES = {"op2_license_scan": licenses.SQL, "op3_mixing": mixing.SQL}
