@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing, packing, secrets
+from . import licenses, mixing, packing, secrets, winnowing
 
-QUERIES = {"op2_license_scan": licenses.query, "op3_mixing": mixing.query, "op6_packing": packing.query, "op10_secret_scan": secrets.query}
+QUERIES = {"op2_license_scan": licenses.query, "op3_mixing": mixing.query, "op5_fingerprints": winnowing.query, "op6_packing": packing.query, "op10_secret_scan": secrets.query}
 ORACLES = {"op2_license_scan": licenses.SQL, "op3_mixing": mixing.SQL}
