@@ -37,6 +37,11 @@ def n_spaced(column: str = "text") -> Column:
     return F.regexp_count(text_or_empty(column), F.lit(SPACED)).cast("long")
 
 
-def only(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """The named columns under the given types and no others, so that further columns of any name can't clash."""
-    return df.select(*(df[c].cast(kind).alias(c) for c, kind in columns.items()))
+def packed(docs: DataFrame) -> DataFrame:
+    """docs as one column `d`, a struct of all its columns: further columns of any name can't clash with an operator's own."""
+    return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("d"))
+
+
+def unpacked(columns: list[str], changed: dict[str, Column] | None = None) -> list[Column]:
+    """The columns of a packed table again, some of them changed."""
+    return [(changed or {}).get(c, F.col("d").getField(c)).alias(c) for c in columns]
