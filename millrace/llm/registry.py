@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, linededup, mixing, packing, secrets, simhash, topk, winnowing
+from . import licenses, linededup, mixing, packing, pseudonyms, secrets, simhash, topk, winnowing
 
-QUERIES = {"op2_license_scan": licenses.query, "op3_mixing": mixing.query, "op4_top_k": topk.query, "op5_fingerprints": winnowing.query, "op6_packing": packing.query, "op7_line_dedup": linededup.query, "op9_simhash": simhash.query, "op10_secret_scan": secrets.query}
+QUERIES = {"op2_license_scan": licenses.query, "op3_mixing": mixing.query, "op4_top_k": topk.query, "op5_fingerprints": winnowing.query, "op6_packing": packing.query, "op7_line_dedup": linededup.query, "op8_pseudonyms": pseudonyms.query, "op9_simhash": simhash.query, "op10_secret_scan": secrets.query}
 ORACLES = {"op2_license_scan": licenses.SQL, "op3_mixing": mixing.SQL, "op4_top_k": topk.SQL, "op7_line_dedup": linededup.SQL}
