@@ -18,8 +18,12 @@ table gives no pieces. Extra columns are not read. A text of any length is token
 
 from __future__ import annotations
 
+import functools
+import json
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,9 +34,18 @@ from pyspark.sql import DataFrame
 WINDOW = 2048
 END = 1
 #: Words whose ids a worker remembers; beyond, it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 600_000
 #: Longest word that is remembered, in characters.
 WORD_CHARS = 64
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Characters for which NFC changes nothing, lower case is one character, and letters and digits are as in SPLIT.
+PLAIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f]+")
+PLAIN_TEXT = re.compile("[\x09-\x0d\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f]*")
+SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\u017f]+|[0-9]|[^\x09-\x0d\x20a-z0-9\xdf-\xf6\xf8-\u017f]+")
+#: The byte-level alphabet: printable bytes stand for themselves, the others for characters from U+0100 on.
+_SELF = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTES = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SELF)}
 SPACE = re.compile(r"[^\S\x1c-\x1f]+")
 
 
@@ -42,17 +55,46 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class Pieces(dict):
+    """The ids of a piece that the pattern doesn't split, by the model alone; bounded like Ids."""
+
+    def __init__(self, model):
+        self.tokenize = model.tokenize
+
+    def __missing__(self, piece: str) -> bytes:
+        seen = piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTES)
+        ids = array("I", [t.id for t in self.tokenize(seen)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        ids = ids.tobytes()
+        if len(piece) <= WORD_CHARS:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Ids(dict):
-    """The ids of a white-space separated piece of text, as little-endian unsigned 32-bit numbers."""
+    """The ids of a text, as little-endian unsigned 32-bit numbers; as a table, those of white-space separated words.
+
+    Texts, or else words, of ASCII and of the Latin letters up to U+017F are split by the tokenizer's pattern here, and only
+    the model is asked; all others go through the whole tokenizer. Either way gives the same ids.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        known = json.loads(self.tokenizer.to_str())
+        plain = known["normalizer"] == NORMALIZER and known["pre_tokenizer"]["pretokenizers"][0]["pattern"] == {"Regex": PATTERN}
+        self.pieces = Pieces(self.tokenizer.model) if plain else None
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if self.pieces is not None and PLAIN.fullmatch(word):
+            ids = b"".join(map(self.pieces.__getitem__, SPLIT.findall(word.lower())))
+        else:
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         if len(word) <= WORD_CHARS:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -61,11 +103,19 @@ class Ids(dict):
 
     def of(self, text: str | None) -> bytes:
         text = text or ""
+        if self.pieces is not None and PLAIN_TEXT.fullmatch(text):
+            return b"".join(map(self.pieces.__getitem__, SPLIT.findall(text.lower())))
         # str.split() also splits at these four, which the tokenizer's pattern takes for ordinary characters
         words = SPACE.split(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
         return b"".join(map(self.__getitem__, words))
 
 
+@functools.cache
+def ids_of(path: str) -> Ids:
+    """One table for all tasks of a worker process."""
+    return Ids(path)
+
+
 class Levels:
     """Open windows by fill level, and the sum-of-squares choice."""
 
@@ -167,7 +217,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDO
 
 def _packer(path: str, window: int, end: int, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, ending = Ids(path), np.array([end], "<u4").tobytes()
+        ids, ending = ids_of(path), np.array([end], "<u4").tobytes()
         base = TaskContext.get().partitionId() << 33
         known: dict[int, list] = {}  # of documents with pieces not yet placed: doc_id, tokens, the last of its ids, tokens not placed
 
