@@ -13,8 +13,14 @@ SPACED = r"[^\x20\x09-\x0D]+"
 
 def shared_scratch(spark: SparkSession) -> None:
     """Checkpoints go to the cluster's spark.checkpoint.dir; only where that is unset (tests), to a local folder."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of the checkpoints, which driver and executors share."""
+    shared_scratch(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def kept(df: DataFrame) -> DataFrame:
