@@ -48,7 +48,7 @@ def covered(rows: DataFrame, lines: int = LINES) -> DataFrame:
 
 
 def dedup(docs: DataFrame, lines: int = LINES) -> DataFrame:
-    """docs with the covered lines removed from text, and n_removed."""
+    """docs with the covered lines removed from text, and n_removed, which replaces a column of that name."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("th"), docs["text"].cast("string").alias("text"))
     gone = covered(rows, lines)
     d = packed(docs).select("d", F.col("d.doc_id").cast("long").alias("id"), F.xxhash64("d.text").alias("hash"))
@@ -63,7 +63,7 @@ def dedup(docs: DataFrame, lines: int = LINES) -> DataFrame:
     changed = {"text": F.col("new")}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(hit, F.length("new")).otherwise(F.col("d.n_chars")).cast(docs.schema["n_chars"].dataType)
-    return d.select(*unpacked(docs.columns, changed), F.when(hit, F.size("l") - F.size("left")).otherwise(F.lit(0)).cast("long").alias("n_removed"))
+    return d.select(*unpacked([c for c in docs.columns if c != "n_removed"], changed), F.when(hit, F.size("l") - F.size("left")).otherwise(F.lit(0)).cast("long").alias("n_removed"))
 
 
 def query(spark, sf_dir):

@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kept, n_spaced
+from .common import kept, n_spaced, packed, unpacked
 
 BUCKETS_HEX = 3
 #: Rows of the table of targets up to which it is broadcast: under 10 MB. Beyond, the join shuffles and AQE splits its skew.
@@ -77,18 +77,27 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
 
 
 def copies(docs: DataFrame, taken: DataFrame) -> DataFrame:
-    """docs repeated as mixed: whole copies, then the first words of the fractional one. Copies keep all columns of docs."""
-    slim = taken.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken")).groupBy("_id", "_size").agg(F.max("_taken").alias("_taken"), F.sum("_taken").alias("_sum"), F.count("*").alias("_rows"))
-    # rows of the same doc_id and size are interchangeable: each takes the same share of what they take together
-    d = docs.withColumn("_n", n_spaced("text"))
-    d = d.join(slim, d["doc_id"].cast("long").eqNullSafe(slim["_id"]) & (d["_n"] == slim["_size"]))
-    d = d.withColumn("_taken", F.when(F.col("_rows") == 1, F.col("_taken")).otherwise(F.round(F.col("_sum") / F.col("_rows")).cast("long")))
-    words = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    n, part = F.floor(F.col("_taken") / F.col("_n")).cast("int"), (F.col("_taken") % F.col("_n")).cast("int")
-    lengths = F.when(F.col("_n") == 0, F.array(F.lit(0))).otherwise(F.concat(F.array_repeat(F.lit(0), n), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>"))))
-    out = d.withColumn("_part", F.explode(lengths))
-    text = F.when(F.col("_part") > 0, F.array_join(F.slice(words, 1, F.col("_part")), "")).otherwise(F.col("text"))
-    return out.withColumn("text", text).withColumn("n_chars", F.when(F.col("_part") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """docs repeated as mixed: whole copies, then the first words of the fractional one. Copies keep all columns of docs.
+
+    A document without words stays once. Rows of the same doc_id, source and size are interchangeable: what they take
+    together is dealt out evenly among them, to within a word.
+    """
+    key = [F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("k_id"), F.coalesce("source", F.lit("")).alias("k_source"), F.col("source").isNull().alias("k_null"), F.col("size").alias("k_size")]
+    keys = ["k_id", "k_source", "k_null", "k_size"]
+    shares = taken.select(*key, "taken").groupBy(*keys).agg(F.sum("taken").alias("sum"), F.count("*").alias("rows"))
+    d = packed(docs).withColumn("n", n_spaced("d.text"))
+    d = d.withColumns({"k_id": F.coalesce(F.col("d.doc_id").cast("long"), F.lit(-(2**63))), "k_source": F.coalesce(F.col("d.source").cast("string"), F.lit("")), "k_null": F.col("d.source").isNull(), "k_size": F.col("n")})
+    d = d.join(shares.hint("shuffle_hash"), keys).withColumn("own", F.round(F.col("sum") / F.col("rows")).cast("long"))
+    whole, part = F.floor(F.col("own") / F.greatest("n", F.lit(1))).cast("int"), (F.col("own") % F.greatest("n", F.lit(1))).cast("int")
+    none = F.array().cast("array<int>")
+    lengths = F.when(F.col("n") == 0, F.array(F.lit(0))).otherwise(F.concat(F.array_repeat(F.lit(0), whole), F.when(part > 0, F.array(part)).otherwise(none)))
+    d = d.select("d", F.explode(lengths).alias("part"))
+    words = F.regexp_extract_all("d.text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    d = d.withColumn("new", F.when(F.col("part") > 0, F.array_join(F.slice(words, 1, F.col("part")), "")).otherwise(F.col("d.text")))
+    changed = {"text": F.col("new")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("part") > 0, F.length("new")).otherwise(F.col("d.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return d.select(*unpacked(docs.columns, changed))
 
 
 def query(spark, sf_dir):

@@ -21,6 +21,7 @@ Extra columns are not read.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -130,7 +131,7 @@ def top_k(vectors: DataFrame, is_query: Column, id_column: str = "vec_id", vecto
     rows = vectors.select(vectors[id_column].cast("long").alias("vec_id"), vectors[vector_column].cast("array<double>").alias("v"))
     queries = kept(rows.where(is_query & F.col("vec_id").isNotNull() & F.col("v").isNotNull()).dropDuplicates(["vec_id", "v"]).withColumn("key", F.xxhash64("vec_id", "v")))
     size = queries.agg(F.sum(F.size("v") * 8 + 64)).collect()[0][0] or 0
-    rounds = max(1, -(-2 * size // (ROUND_MB * 1_000_000)))
+    rounds = max(1, math.ceil(2 * size / (ROUND_MB * 1_000_000)))
     parts = []
     for r in range(rounds):
         # half of ROUND_MB on average, by a hash of distinct rows
