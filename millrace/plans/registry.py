@@ -1,10 +1,175 @@
-"""All registered queries of the batch operators, with their SQL."""
+"""All registered queries of the batch operators; their SQL is in `oracle`."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from ..functions.text import feature, tokens
+from ..operators import bigrams, cooccurrence, counts, graph, index, linear, relational, retrieval
+from ..sources.readers import document_lines
+from ..tables import table
+from .oracle import ORACLES
+
+Query = Callable[[SparkSession, str], DataFrame]
+AND_QUERY, OR_QUERY, NESTED_QUERY = "the of AND", "the der OR", "the of AND der und AND OR"
+SOURCES, ITERATIONS = (3, 7), 3
+PATTERN, DAY = "1996-01", "1996-01-01"
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_lines(table(spark, sf_dir, "documents").select("text"))
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def _over_lines(operator: Callable[..., DataFrame]) -> Query:
+    return lambda spark, sf_dir: operator(_lines(spark, sf_dir))
+
+
+def _tables(operator: Callable[..., DataFrame], *names: str, **options) -> Query:
+    return lambda spark, sf_dir: operator(*(table(spark, sf_dir, n) for n in names), **options)
+
+
+def pmi_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cooccurrence.pmi_pairs(_lines(spark, sf_dir)).withColumn("pmi", F.round("pmi", 6))
+
+
+def pmi_stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = cooccurrence.pmi_stripes(_lines(spark, sf_dir))
+    return s.select("word", F.explode("stripe").alias("neighbour", "pmi")).withColumn("pmi", F.round("pmi", 6))
+
+
+def pmi_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cooccurrence.neighbours(cooccurrence.pmi_pairs(_lines(spark, sf_dir)))
+
+
+def bigram_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bigrams.pairs(_lines(spark, sf_dir)).withColumn("value", F.round("value", 9))
+
+
+def bigram_stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bigrams.stripes(_lines(spark, sf_dir)).select("left", F.explode("stripe").alias("right", "value")).withColumn("value", F.round("value", 9))
+
+
+def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.terms(index.postings(_docs(spark, sf_dir)))
+
+
+def postings_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.gaps(index.postings(_docs(spark, sf_dir)))
+
+
+def postings_vint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.build(_docs(spark, sf_dir)).select("term", "block", "df", F.octet_length("postings").cast("long").alias("n_bytes"))
+
+
+def boolean(query: str) -> Query:
+    return lambda spark, sf_dir: retrieval.search_texts(_docs(spark, sf_dir), query)
+
+
+def boolean_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return retrieval.snippets(retrieval.search_texts(docs, AND_QUERY), docs)
+
+
+def wide_row_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.read(index.build(_docs(spark, sf_dir), wide=True))
+
+
+def wide_row_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.search_index(index.build(_docs(spark, sf_dir), wide=True), NESTED_QUERY)
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return graph.transitions(table(spark, sf_dir, "events"))
+
+
+def graph_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.records(*_graph(spark, sf_dir))
+
+
+def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.stats(*_graph(spark, sf_dir))
+
+
+def ppr(sources: tuple[int, ...]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        nodes, edges = _graph(spark, sf_dir)
+        return graph.filled(graph.pagerank(nodes, edges, sources, ITERATIONS), nodes, sources).withColumn("p", F.round("p", 9))
+
+    return run
+
+
+def ppr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _graph(spark, sf_dir)
+    return graph.top(graph.filled(graph.pagerank(nodes, edges, SOURCES, ITERATIONS), nodes, SOURCES))
+
+
+def spam_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents; `spam` is low quality, features are all words of the whole text."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 0, "spam").otherwise("ham").alias("label"))
+    words = F.transform(tokens(F.col("text")), lambda w: feature(w))
+    return _docs(spark, sf_dir).join(labels, "doc_id").select(F.col("doc_id").alias("docid"), "label", words.alias("features"))
+
+
+def closed_models(spark: SparkSession) -> DataFrame:
+    """Three models of 1,000 weights each by a formula, so that SQL has the same."""
+    f = spark.range(1000).select(F.explode(F.array(*map(F.lit, range(3)))).alias("model_id"), F.col("id").cast("int").alias("feature"))
+    return f.select("model_id", "feature", (((F.col("feature") * 37 + F.col("model_id") * 11) % 101 - 50) / F.lit(1000.0)).alias("weight"))
+
+
+def spam_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linear.train(spam_instances(spark, sf_dir)).withColumn("weight", F.round("weight", 9) + 0.0)
+
+
+def spam_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = closed_models(spark).where("model_id = 0").select("feature", "weight")
+    s = linear.scores(spam_instances(spark, sf_dir), model).withColumn("score", F.round("score", 6))
+    return s.withColumn("prediction", F.when(F.col("score") > 0, "spam").otherwise("ham"))
+
+
+def spam_ensemble(method: str) -> Query:
+    return lambda spark, sf_dir: linear.ensemble(spam_instances(spark, sf_dir), closed_models(spark), method).withColumn("score", F.round("score", 6))
+
+
+QUERIES: dict[str, Query] = {
+    "word_count": _over_lines(counts.word_count),
+    "prefix_count": _over_lines(counts.prefix_count),
+    "line_frequency": _over_lines(counts.line_frequency),
+    "line_total": _over_lines(counts.line_total),
+    "pmi_pairs": pmi_pairs,
+    "pmi_stripes": pmi_stripes,
+    "pmi_neighbours": pmi_neighbours,
+    "bigram_rel_freq_pairs": bigram_pairs,
+    "bigram_rel_freq_stripes": bigram_stripes,
+    "inverted_index": inverted_index,
+    "postings_gap": postings_gap,
+    "postings_vint": postings_vint,
+    "boolean_and": boolean(AND_QUERY),
+    "boolean_or": boolean(OR_QUERY),
+    "boolean_nested": boolean(NESTED_QUERY),
+    "boolean_snippets": boolean_snippets,
+    "wide_row_index": wide_row_index,
+    "wide_row_retrieval": wide_row_retrieval,
+    "graph_adjacency": graph_adjacency,
+    "graph_stats": graph_stats,
+    "ppr_single": ppr(SOURCES[:1]),
+    "ppr_multi": ppr(SOURCES),
+    "ppr_topk": ppr_topk,
+    "q1_shipped_count": _tables(relational.shipped_count, "lineitem", pattern=PATTERN),
+    "q2_order_attr": _tables(relational.shipped_orders, "lineitem", "orders", pattern=PATTERN, attribute="o_orderpriority"),
+    "q3_part_supplier": _tables(relational.shipped_parts, "lineitem", "part", "supplier", pattern=PATTERN),
+    "q4_nation_count": _tables(relational.nation_counts, "lineitem", "orders", "customer", "nation", pattern=PATTERN),
+    "q5_monthly_nation": _tables(relational.monthly_counts, "lineitem", "orders", "customer", "nation"),
+    "q6_pricing_summary": _tables(relational.pricing_summary, "lineitem", pattern=PATTERN),
+    "q7_unshipped_revenue": _tables(relational.unshipped_revenue, "lineitem", "orders", "customer", day=DAY, attribute="o_orderpriority"),
+    "spam_train": spam_train,
+    "spam_apply": spam_apply,
+    "spam_ensemble_average": spam_ensemble("average"),
+    "spam_ensemble_vote": spam_ensemble("vote"),
+}

@@ -1,8 +1,10 @@
-"""Spark session with the settings the plans of this package expect."""
+"""Spark session with the settings the plans of this package expect, and scratch space that all executors see."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -21,3 +23,11 @@ def session(master: str = "local[*]", app: str = "millrace", **settings: str) ->
     spark = SparkSession.builder.master(master).appName(app).config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the cluster's spark.checkpoint.dir (a local folder only where that is unset)."""
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
+    return df.checkpoint()

@@ -1 +1 @@
-"""Incremental forms of the batch counts."""
+"""The batch programs this engine answers for have no streams, so there is nothing here but the place for them."""

@@ -1,0 +1,67 @@
+import math
+
+import pytest
+
+from millrace.operators import linear
+
+SCHEMA = "docid string, label string, features array<int>"
+
+
+def fold(rows, delta=0.002):
+    w = {}
+    for label, features in rows:
+        p = 1 / (1 + math.exp(-sum(w.get(f, 0) for f in features)))
+        for f in features:
+            w[f] = w.get(f, 0) + ((label == "spam") - p) * delta
+    return w
+
+
+def weights(df):
+    return {r["feature"]: r["weight"] for r in df.collect()}
+
+
+def test_sequential(spark):
+    rows = [(f"d{i:03d}", "spam" if i % 3 else "ham", [i % 7, i % 5, i % 7]) for i in range(200)]
+    df = spark.createDataFrame(rows[::-1], SCHEMA).repartition(5)
+    assert weights(linear.train(df)) == pytest.approx(fold([r[1:] for r in rows]), abs=1e-12)
+    shuffled = weights(linear.train(df, shuffle_seed=4))
+    assert shuffled == weights(linear.train(df, shuffle_seed=4)) != weights(linear.train(df))
+
+
+def test_order_matters(spark):
+    a, b = ("1", "spam", [1, 1]), ("2", "ham", [1])
+    one, two = (weights(linear.train(spark.createDataFrame(x, SCHEMA))) for x in ([a, b], [("1", *b[1:]), ("2", *a[1:])]))
+    assert one != two
+
+
+def test_models_side_by_side(spark):
+    rows = [(f"d{i}", "spam" if i % 2 else "ham", [i % 4], i % 3) for i in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA + ", part int")
+    got = linear.train(df, model="part").collect()
+    for m in range(3):
+        own = sorted(r for r in rows if r[3] == m)
+        assert {r["feature"]: r["weight"] for r in got if r["model_id"] == m} == pytest.approx(fold([r[1:3] for r in own]))
+
+
+def test_edges(spark):
+    df = spark.createDataFrame([("a", "spam", None), ("b", None, [1, None]), ("c", "spam", [])], SCHEMA)
+    assert weights(linear.train(df)) == {1: pytest.approx(-0.001)}
+    assert weights(linear.train(df.limit(0))) == {}
+
+
+def test_apply(spark):
+    model = spark.createDataFrame([(1, 0.5), (2, -0.5)], "feature int, weight double")
+    df = spark.createDataFrame([("a", "spam", [1, 1, 2]), ("b", "ham", [1, 2]), ("c", "ham", [9]), ("d", "x", [])], SCHEMA)
+    got = {r["docid"]: (r["score"], r["prediction"]) for r in linear.apply(df, model).collect()}
+    assert got == {"a": (0.5, "spam"), "b": (0.0, "ham"), "c": (0.0, "ham"), "d": (0.0, "ham")}
+
+
+def test_ensemble(spark):
+    models = spark.createDataFrame([(0, 1, 1.0), (1, 1, 1.0), (2, 1, -3.0), (0, 2, -1.0), (1, 2, -1.0), (2, 2, 5.0)], "model_id int, feature int, weight double")
+    df = spark.createDataFrame([("a", "spam", [1]), ("b", "ham", [2]), ("c", "ham", [3])], SCHEMA)
+    vote = {r["docid"]: (r["score"], r["prediction"]) for r in linear.ensemble(df, models, "vote").collect()}
+    assert vote == {"a": (1.0, "spam"), "b": (-1.0, "ham"), "c": (-3.0, "ham")}
+    mean = {r["docid"]: (round(r["score"], 6), r["prediction"]) for r in linear.ensemble(df, models, "average").collect()}
+    assert mean == {"a": (-0.333333, "ham"), "b": (1.0, "spam"), "c": (0.0, "ham")}
+    with pytest.raises(ValueError):
+        linear.ensemble(df, models, "best")
