@@ -14,11 +14,17 @@ What a task finds is given out as a forest (each member to the least fingerprint
 all pairs. Copies meet before the index: it holds distinct fingerprints only.
 
 `drop_near_copies` is for similarity (Jaccard index of five-word shingles of 0.8 or more), where fingerprints differ in
-about ten bits and no 48-bit pattern is shared. Its upper nodes are the patterns of `WIDTH` = 18 bits under `WIDE_MASKS` =
-128 fixed masks; members of a node lie in Gray order, are pruned where they differ in more than `FAR` bits, and what is
-left is verified on the texts. A node of more than `SMALL` members is covered by leaders, each compared with all members,
-so near copies give pairs in proportion to their number. Of pairs that differ in 8 bits, 99.9 % share a node; in 10 bits,
-97 %; in 12 bits, 78 %.
+about ten bits and no 48-bit pattern is shared. A text has two independent fingerprints there, of its distinct shingles.
+Upper nodes are the patterns of `WIDTH` = 14 bits under `WIDE_MASKS` = 40 fixed masks of either one. Members of a node lie
+in Gray order and are pruned where both fingerprints together differ in more than `FAR` = 30 bits, which unrelated texts
+that share a pattern stay under once in a million times. What is left is pruned by the texts' numbers of shingles, which a
+similarity of 0.8 bounds, and by a sketch of 128 bytes, where its estimate is four standard errors too low; the rest is
+verified on the texts. A node of more than `SMALL` members is covered by leaders, each compared with all members, so near
+copies give pairs in proportion to their number; in a node of `LARGE` members or more the first leader is the one nearest to
+their majority, which in a large group of copies is about the same in all nodes. A task holds `CHUNK` rows, and of a
+larger node the leaders found so far. Of pairs that differ in 8 bits of a fingerprint, 99 % share a node of it;
+in 10 bits, 94 %; in 12 bits, 78 %; the second one makes up for an unlucky first. A wider corpus takes a larger WIDTH and
+more masks: a node holds a 16,384th of unrelated texts.
 
 Nulls and edges: a null or empty text has fingerprint zero and links like any other. A component's id is its least
 doc_id, null if all are null. Rows of the same doc_id each get a row in `near_duplicates`; `drop_near_copies` keeps one
@@ -48,21 +54,31 @@ MASKS = list(combinations(range(8), 2))
 CHUNK = 200_000
 #: Pairs expanded at once.
 PAIRS = 2_000_000
-#: Of drop_near_copies: words of a shingle, least similarity, bits of a masked pattern, masks, most bits that may differ.
-SIMILAR_SHINGLE, SIMILARITY, WIDTH, WIDE_MASKS, FAR = 5, 0.8, 18, 128, 16
+#: Of drop_near_copies: words of a shingle, least similarity, bits of a masked pattern, masks, most bits of two fingerprints that may differ.
+SIMILAR_SHINGLE, SIMILARITY, WIDTH, WIDE_MASKS, FAR = 5, 0.8, 14, 40, 30
 #: Members of a node up to which all its pairs are compared.
 SMALL = 8
+#: Members of a node from which on its first leader is sought by majority.
+LARGE = 32
 ONES = np.array([bin(i).count("1") for i in range(256)], np.int64)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The fingerprint as a signed 64-bit number."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of all shingles, repeats included; none for a text without words."""
     # bytes.lower() and bytes.split() know ASCII only: A-Z, and the white space of the contract
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) > shingle else [b" ".join(words)]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in joined), np.uint64)
+    return np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in joined), np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The fingerprint as a signed 64-bit number."""
+    return majority(shingle_hashes(text, shingle))
+
+
+def majority(hashes: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 65536):
         ones += np.unpackbits(hashes[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -77,8 +93,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([fingerprint(t.as_py(), shingle) for t in b.column(2)], pa.int64())], ["doc_id", "th", "fp"])
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("th"), docs["text"].cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, th long, fp long")
+    return slim(docs).mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -214,83 +229,157 @@ def gray_rank_64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Bytes of a sketch.
+SKETCH = 128
+
+
+def sketch(h: np.ndarray) -> bytes:
+    """A byte of the least hash in each of SKETCH ranges of hashes; 0 for an empty range. h: distinct and sorted."""
+    at, first = np.unique(h >> np.uint64(57), return_index=True)
+    out = np.zeros(SKETCH, np.uint8)
+    out[at.astype(np.int64)] = 1 + h[first] % np.uint64(255)
+    return out.tobytes()
+
+
+def hopeless(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Of two arrays of sketches by rows: whether the estimated similarity is four standard errors too low."""
+    seen = np.maximum(1, ((a > 0) | (b > 0)).sum(axis=1))
+    same = ((a == b) & (a > 0)).sum(axis=1) / seen
+    return same + 4 * np.sqrt(similarity * (1 - similarity) / seen) < similarity
+
+
+def described(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, th, fp, fp2, n, sketch) for each row of docs (doc_id, text): of its distinct shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, seconds, ns, sketches = [], [], [], []
+            for t in b.column(2):
+                h = np.unique(shingle_hashes(t.as_py(), shingle))  # as a set, as the similarity is of sets
+                fps.append(majority(h))
+                seconds.append(majority((h ^ h >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)))
+                ns.append(len(h))
+                sketches.append(sketch(h))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64()), pa.array(seconds, pa.int64()), pa.array(ns, pa.int64()), pa.array(sketches, pa.binary())], ["doc_id", "th", "fp", "fp2", "n", "sketch"])
+
+    return slim(docs).mapInArrow(run, "doc_id long, th long, fp long, fp2 long, n long, sketch binary")
+
+
+def slim(docs: DataFrame) -> DataFrame:
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("th"), docs["text"].cast("string").alias("text"))
+
+
+def _pruner(similarity: float):
+    """(ta, tb) of rows (ta, tb, sa, sb) that aren't hopeless by their sketches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH) for i in (2, 3))
+            good = pa.array(~hopeless(x, y, similarity))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(good), b.column(1).filter(good)], ["ta", "tb"])
+
+    return run
+
+
 def wide_masks() -> np.ndarray:
-    """WIDE_MASKS rows of WIDTH bit numbers, always the same."""
+    """WIDE_MASKS rows of WIDTH bit numbers for each of the two fingerprints, always the same."""
     r = np.random.RandomState(9)
-    return np.array([np.sort(r.permutation(64)[:WIDTH]) for _ in range(WIDE_MASKS)])
+    return np.array([np.sort(r.permutation(64)[:WIDTH]) for _ in range(2 * WIDE_MASKS)])
 
 
 def _spread_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each fingerprint under its WIDE_MASKS nodes, with its Gray rank (as a signed number) in place of itself."""
+    """Each pair of fingerprints under its 2 * WIDE_MASKS nodes: (node, Gray rank of the first as a signed number, second)."""
     masks, one = wide_masks(), np.uint64(1)
     for batch in batches:
         for i in range(0, len(batch), 4096):
-            fp = batch.column(0).slice(i, 4096).to_numpy().view(np.uint64)
-            rank = pa.array(gray_rank_64(fp).view(np.int64))
+            fps = [batch.column(k).slice(i, 4096).to_numpy().view(np.uint64) for k in (0, 1)]
+            rank, second = pa.array(gray_rank_64(fps[0]).view(np.int64)), batch.column(1).slice(i, 4096)
             for m, bits in enumerate(masks):
-                node = np.full(len(fp), m, np.int64)
+                node = np.full(len(fps[0]), m, np.int64)
                 for b in bits:
-                    node = node << 1 | ((fp >> np.uint64(b)) & one).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(node), rank], ["node", "rank"])
+                    node = node << 1 | ((fps[m // WIDE_MASKS] >> np.uint64(b)) & one).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(node), rank, second], ["node", "rank", "second"])
+
 
+def central(fp: np.ndarray, second: np.ndarray) -> int:
+    """The row nearest to the majority of the rows' bits."""
+    both = np.stack((fp, second), axis=1)
+    bits = np.unpackbits(both.view(np.uint8), axis=1)
+    middle = np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(fp)).view(np.uint64)
+    return int(np.bitwise_count(both ^ middle).sum(axis=1).argmin())
 
-def near_in_nodes(node: np.ndarray, fp: np.ndarray, far: int = FAR) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of row numbers within a node that differ in `far` bits or fewer: all of small nodes, else leaders with members.
 
-    Rows lie by node. A large node's first row that no leader is near becomes a leader, and is compared with the whole node.
+def near_in_nodes(node: np.ndarray, fp: np.ndarray, second: np.ndarray, far: int = FAR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers of pairs within a node that differ in `far` bits or fewer, all of small nodes, else leaders with members; and
+    the row numbers of the leaders.
+
+    Rows lie by node. In a large node the most central row leads first, then the first row that no leader is near, and so on;
+    each leader is compared with the whole node.
     """
+    differ = lambda i, j: np.bitwise_count(fp[i] ^ fp[j]) + np.bitwise_count(second[i] ^ second[j])
     start = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
     size = np.diff(np.append(start, len(node)))
     of = np.repeat(np.arange(len(start)), size)
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    a, b, led = ([np.zeros(0, np.int64)] for _ in range(3))
     small = np.flatnonzero(size[of] <= SMALL)
     for d in range(1, SMALL):
         at = small[small + d < len(node)]
         at = at[node[at] == node[at + d]]
-        near = at[np.bitwise_count(fp[at] ^ fp[at + d]) <= far]
+        near = at[differ(at, at + d) <= far]
         a.append(near)
         b.append(near + d)
-    rows = np.flatnonzero(size[of] > SMALL)
-    free = size[of] > SMALL
+    rows, free = np.flatnonzero(size[of] > SMALL), size[of] > SMALL
+    leader = np.zeros(len(start), np.int64) - 1
+    for k in np.flatnonzero(size >= LARGE):
+        own = slice(start[k], start[k] + size[k])
+        leader[k] = start[k] + central(fp[own], second[own])
     while len(rows):
         live = rows[free[rows]]
-        own, first = np.unique(of[live], return_index=True)
-        leader = np.zeros(len(start), np.int64) - 1
-        leader[own] = live[first]
+        own = of[live]
+        first = np.concatenate(([True], own[1:] != own[:-1])) if len(own) else np.zeros(0, bool)
+        leader[own[first]] = np.where(leader[own[first]] >= 0, leader[own[first]], live[first])
         rows = rows[leader[of[rows]] >= 0]
         top = leader[of[rows]]
-        near = np.bitwise_count(fp[rows] ^ fp[top]) <= far
+        led.append(np.unique(top))
+        near = differ(rows, top) <= far
         free[rows[near]] = False
         other = near & (rows != top)
         a.append(top[other])
         b.append(rows[other])
-    return np.concatenate(a), np.concatenate(b)
+        leader[:] = -1
+    return np.concatenate(a), np.concatenate(b), np.concatenate(led)
 
 
 def _search_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): distinct near pairs of a chunk's nodes; chunks end between nodes."""
+    """(a, a2, b, b2): distinct near pairs of a chunk's nodes; chunks end between nodes."""
 
-    def pairs(node: np.ndarray, rank: np.ndarray) -> pa.RecordBatch:
+    def pairs(node: np.ndarray, rank: np.ndarray, second: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
         ranks = rank.view(np.uint64)
         fp = ranks ^ (ranks >> np.uint64(1))
-        a, b = near_in_nodes(node, fp)
-        x, y = fp[a].view(np.int64), fp[b].view(np.int64)
-        both = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-
-    nodes, ranks, n = [], [], 0
+        i, j, led = near_in_nodes(node, fp, second.view(np.uint64))
+        x, y = np.stack((fp[i].view(np.int64), second[i]), axis=1), np.stack((fp[j].view(np.int64), second[j]), axis=1)
+        swap = (x[:, 0] > y[:, 0]) | ((x[:, 0] == y[:, 0]) & (x[:, 1] > y[:, 1]))
+        both = np.where(swap[:, None], np.hstack((y, x)), np.hstack((x, y)))
+        both = np.unique(both, axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, k])) for k in range(4)], ["a", "a2", "b", "b2"]), led
+
+    held, n = [], 0
     for batch in batches:
-        nodes.append(batch.column(0).to_numpy())
-        ranks.append(batch.column(1).to_numpy())
+        held.append([batch.column(k).to_numpy() for k in range(3)])
         n += len(batch)
         if n >= CHUNK:
-            node, rank = np.concatenate(nodes), np.concatenate(ranks)
+            columns = [np.concatenate(c) for c in zip(*held)]
+            node = columns[0]
             cut = len(node) - int(np.argmax(node[::-1] != node[-1])) if node[0] != node[-1] else 0
-            if cut:
-                yield pairs(node[:cut], rank[:cut])
-            nodes, ranks, n = [node[cut:]], [rank[cut:]], len(node) - cut
-    if n:
-        yield pairs(np.concatenate(nodes), np.concatenate(ranks))
+            out, led = pairs(*(c[:cut] for c in columns)) if cut else pairs(*columns)
+            yield out
+            # of a node that fills a chunk the leaders go on
+            held = [[c[cut:] for c in columns]] if cut else [[c[np.sort(led)] for c in columns]]
+            n = len(held[0][0])
+            if not cut and n >= CHUNK // 2:  # all of them far from each other: wait for as many rows again
+                n = 0
+    if held and len(held[0][0]):
+        yield pairs(*(np.concatenate(c) for c in zip(*held)))[0]
 
 
 def _verifier(similarity: float, shingle: int):
@@ -309,40 +398,49 @@ def _verifier(similarity: float, shingle: int):
     return run
 
 
+#: In keys, a null doc_id; rows of a text that has this doc_id are rows of the same text.
+NULL_ID = -(2**63)
+
+
+def candidates(texts: DataFrame, similarity: float) -> DataFrame:
+    """(ta, tb, sa, sb): text hashes and sketches of pairs that are near by their fingerprints and of similar size."""
+    p = partitions(texts.sparkSession)
+    # of the texts with the same fingerprints, one stands for all in the index; the others are held against it
+    stands = kept(texts.groupBy("fp", "fp2").agg(F.min(F.struct("th", "n", "sketch")).alias("s"), F.count("*").alias("texts")))
+    nodes = stands.select("fp", "fp2").mapInArrow(_spread_wide, "node long, rank long, second long")
+    near = nodes.repartition(p, "node").sortWithinPartitions("node", "rank").mapInArrow(_search_wide, "a long, a2 long, b long, b2 long").distinct()
+    own = lambda k: stands.select(F.col("fp").alias(k), F.col("fp2").alias(f"{k}2"), F.col("s.th").alias(f"t{k}"), F.col("s.n").alias(f"n{k}"), F.col("s.sketch").alias(f"s{k}"))
+    pairs = near.join(own("a"), ["a", "a2"]).join(own("b"), ["b", "b2"]).select("ta", "tb", "sa", "sb", "na", "nb")
+    same = texts.select("fp", "fp2", F.col("th").alias("tb"), F.col("sketch").alias("sb"), F.col("n").alias("nb")).join(stands.where("texts > 1").select("fp", "fp2", "s"), ["fp", "fp2"]).where("tb <> s.th").select(F.col("s.th").alias("ta"), "tb", F.col("s.sketch").alias("sa"), "sb", F.col("s.n").alias("na"), "nb")
+    sized = lambda df: df.where(F.least("na", "nb") >= similarity * F.greatest("na", "nb")).select("ta", "tb", "sa", "sb")
+    return sized(pairs).union(sized(same))
+
+
 def similar_texts(texts: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
-    """(a, b): verified links between text hashes. texts: (th, fp, least), one row a text; docs: (doc_id, th, text)."""
-    n = partitions(texts.sparkSession)
-    # of the texts with one fingerprint, one stands for all in the index; the others are held against it
-    stands = kept(texts.groupBy("fp").agg(F.min("th").alias("th"), F.count("*").alias("n")))
-    nodes = stands.select("fp").mapInArrow(_spread_wide, "node long, rank long")
-    near = nodes.repartition(n, "node").sortWithinPartitions("node", "rank").mapInArrow(_search_wide, "a long, b long").distinct()
-    of = stands.select("fp", "th")
-    pairs = near.join(of.select(F.col("fp").alias("a"), F.col("th").alias("ta")), "a").join(of.select(F.col("fp").alias("b"), F.col("th").alias("tb")), "b").select("ta", "tb")
-    same = texts.select("fp", F.col("th").alias("tb")).join(stands.where("n > 1").select("fp", F.col("th").alias("ta")), "fp").where("ta <> tb").select("ta", "tb")
-    pairs = kept(pairs.union(same))
-    wanted = pairs.select(F.explode(F.array("ta", "tb")).alias("th")).distinct().join(texts, "th").select("th", "least")
-    d = docs.alias("d").join(wanted.alias("w"), (F.col("d.th") == F.col("w.th")) & F.col("d.doc_id").eqNullSafe(F.col("w.least"))).select("d.th", "d.text")
-    full = kept(d.groupBy("th").agg(F.first("text").alias("text")))
+    """(a, b): verified links between text hashes. texts: (th, fp, fp2, n, sketch, key), one row a text; docs: (doc_id, th, text)."""
+    pairs = kept(candidates(texts, similarity).mapInArrow(_pruner(similarity), "ta long, tb long"))
+    wanted = pairs.select(F.explode(F.array("ta", "tb")).alias("th")).distinct().join(texts, "th").select("th", "key")
+    d = docs.select("th", F.coalesce("doc_id", F.lit(NULL_ID)).alias("key"), "text").join(wanted, ["th", "key"])
+    full = kept(d.groupBy("th", "key").agg(F.first("text").alias("text")))
     both = pairs.join(full.select(F.col("th").alias("ta"), F.col("text").alias("x")), "ta").join(full.select(F.col("th").alias("tb"), F.col("text").alias("y")), "tb")
     return both.select("ta", "tb", "x", "y").mapInArrow(_verifier(similarity, shingle), "a long, b long")
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
     """docs with one row of each group of near copies, all columns kept."""
-    rows = kept(fingerprints(docs, shingle))
-    texts = kept(rows.groupBy("th").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")))
-    slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("th"), docs["text"].cast("string").alias("text"))
-    roots = components(similar_texts(texts, slim, similarity, shingle))
-    t = texts.alias("t").join(roots.alias("r"), F.col("t.th") == F.col("r.node"), "left").select("t.th", "t.least", F.coalesce("r.root", "t.th").alias("root"))
-    one = t.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("null"), "least", "th")).alias("x")).select("x.least", "x.th")
+    rows = kept(described(docs, shingle))
+    texts = rows.groupBy("th").agg(F.min("doc_id").alias("least"), F.min(F.struct("fp", "fp2", "n", "sketch")).alias("s"))
+    texts = kept(texts.select("th", "least", F.coalesce("least", F.lit(NULL_ID)).alias("key"), "s.*"))
+    roots = components(similar_texts(texts, slim(docs), similarity, shingle))
+    t = texts.select("th", "least", "key").alias("t").join(roots.alias("r"), F.col("t.th") == F.col("r.node"), "left").select("t.th", "t.least", "t.key", F.coalesce("r.root", "t.th").alias("root"))
+    one = t.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("null"), "least", "th", "key")).alias("x")).select("x.th", "x.key")
     # of rows equal in doc_id and text one stays; they are told by their number, so that no other text moves for it
-    many = rows.groupBy("doc_id", "th").agg(F.count("*").alias("n"))
-    one = one.alias("o").join(many.alias("m"), F.col("o.least").eqNullSafe(F.col("m.doc_id")) & (F.col("o.th") == F.col("m.th"))).select(F.col("o.least").alias("w_id"), F.col("o.th").alias("w_th"), "n")
-    one = kept(one)
-    d = packed(docs).withColumn("id", F.col("d.doc_id").cast("long")).withColumn("th", F.xxhash64("d.text"))
-    d = d.join(one.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th")))
-    again = d.where("n > 1").groupBy("id", "th").agg(F.first("d").alias("d"))
-    return d.where("n = 1").select("d").union(again.select("d")).select(*unpacked(docs.columns))
+    many = rows.groupBy("th", F.coalesce("doc_id", F.lit(NULL_ID)).alias("key")).agg(F.count("*").alias("rows"))
+    one = kept(one.join(many, ["th", "key"]))
+    d = packed(docs).withColumn("key", F.coalesce(F.col("d.doc_id").cast("long"), F.lit(NULL_ID))).withColumn("th", F.xxhash64("d.text"))
+    d = d.join(one.hint("shuffle_hash"), ["th", "key"])
+    again = d.where("rows > 1").groupBy("th", "key").agg(F.first("d").alias("d"))
+    return d.where("rows = 1").select("d").union(again.select("d")).select(*unpacked(docs.columns))
 
 
 def query(spark, sf_dir):
