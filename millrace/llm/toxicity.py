@@ -197,9 +197,11 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str],
             ids = pa.array([[at[w] for w in f if w in at] for f in b.column(b.num_columns - 1).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids], b.schema.names)
 
-    table = found.mapInArrow(numbers, found.schema.simpleString()[7:-1].replace(":", " ").replace("array<string>", "array<int>")).toPandas()
+    numbered = found.mapInArrow(numbers, found.schema.simpleString()[7:-1].replace(":", " ").replace("array<string>", "array<int>"))
     # of repeated rows of a doc_id one is used; the order doesn't depend on tasks
-    table = table.assign(f=[np.asarray(x, np.int64) for x in table["f"]], n=[len(x) for x in table["f"]]).sort_values(["doc_id", "n", "fold"]).drop_duplicates("doc_id")
+    one = numbered.groupBy("doc_id").agg(F.min(F.struct(*numbered.columns[1:])).alias("x")).select("doc_id", "x.*")
+    table = one.toPandas().sort_values("doc_id")
+    table = table.assign(f=[np.asarray(x, np.int64) for x in table["f"]])
     return chain(vocabulary, list(table["f"]), table["fold"].to_numpy(), table[[f"y{j}" for j in range(len(names))]].to_numpy().reshape(-1, len(names)), names)
 
 

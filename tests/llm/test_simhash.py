@@ -102,3 +102,49 @@ def test_components(spark):
     got = {x["node"]: x["root"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     root = classes(400, [(a, b) for a, b in edges if a is not None])
     assert got == {n: root[n] for a, b in edges if a is not None and a != b for n in (a, b)}
+
+
+def near_rows(seed, base, copies, flips):
+    r = np.random.RandomState(seed)
+    x = np.repeat(r.randint(0, 2**63, (base, 2)).astype(np.uint64), copies, axis=0)
+    for row in x:
+        for k in (0, 1):
+            for bit in r.choice(64, r.randint(0, flips + 1), replace=False):
+                row[k] ^= np.uint64(1) << np.uint64(bit)
+    return x[r.permutation(len(x))]
+
+
+def test_leaders_connect_large_groups_with_few_pairs():
+    x = near_rows(3, 4, 300, 5)
+    a, b, led = simhash.near_in_nodes(np.zeros(len(x), np.int64), x[:, 0].copy(), x[:, 1].copy())
+    assert len(set(classes(len(x), list(zip(a.tolist(), b.tolist()))))) == 4
+    assert len(a) < 3 * len(x) and len(led) < 20
+    assert (np.bitwise_count(x[a] ^ x[b]).sum(axis=1) <= simhash.FAR).all()
+
+
+def test_small_nodes_give_all_pairs():
+    x = near_rows(4, 30, 5, 3)
+    node = np.sort(np.random.RandomState(5).randint(0, 40, len(x)))
+    sizes = np.bincount(node)
+    keep = sizes[node] <= simhash.SMALL
+    node, x = node[keep], x[keep]
+    a, b, _ = simhash.near_in_nodes(node, x[:, 0].copy(), x[:, 1].copy())
+    want = {(j, i) for i in range(len(x)) for j in range(i) if node[i] == node[j] and np.bitwise_count(x[i] ^ x[j]).sum() <= simhash.FAR}
+    assert set(zip(a.tolist(), b.tolist())) == want
+
+
+def test_a_node_larger_than_a_chunk(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(simhash, "CHUNK", 100)
+    x = near_rows(6, 3, 400, 4)
+    rank = simhash.gray_rank_64(x[:, 0].copy())
+    order = np.argsort(rank)
+    node = np.concatenate((np.zeros(900, np.int64), np.ones(300, np.int64)))
+    columns = [node, rank[order].view(np.int64), x[order, 1].copy().view(np.int64)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + 37]) for c in columns], ["node", "rank", "second"]) for i in range(0, 1200, 37)]
+    known = {tuple(map(int, r)): i for i, r in enumerate(x.view(np.int64))}
+    pairs = [(known[p["a"], p["a2"]], known[p["b"], p["b2"]]) for out in simhash._search_wide(iter(batches)) for p in out.to_pylist()]
+    root = classes(len(x), pairs)
+    first = [known[tuple(map(int, r))] for r in x[order][:900].view(np.int64)]
+    assert len({root[i] for i in first}) == 3

@@ -33,7 +33,7 @@ def test_rounds_don_t_matter(spark, monkeypatch):
     rows = [(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(300)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     one = {tuple(x) for x in topk.top_k(df, F.lit(True)).collect()}
-    monkeypatch.setattr(topk, "ROUND_MB", 0.02)
+    monkeypatch.setattr(topk, "ROUND_MB", 0.02)  # several rounds
     assert {tuple(x) for x in topk.top_k(df, F.lit(True)).collect()} == one == brute(rows, {i for i, _ in rows})
 
 
