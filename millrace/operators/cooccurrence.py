@@ -14,18 +14,23 @@ from ..functions.text import LINE_WORDS, line_words
 from ..session import kept
 
 
+LINES = "*"
+
+
 def pair_counts(lines: DataFrame, least: int = 10, most: int = LINE_WORDS) -> DataFrame:
     """(x, y, cnt, px, py, total) for x < y on `least` lines or more together; px and py count their own lines, total all."""
-    w = kept(lines.select(line_words(F.col("line"), most).alias("w")).where(F.size("w") > 0))
-    # numbers by falling count would be shorter; any distinct ones do, and these need no sort
-    words = w.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    w = lines.select(line_words(F.col("line"), most).alias("w")).where(F.size("w") > 0)
+    # lines are counted in the same pass, under a mark that no word is; a second pass makes the pairs, and no copy of the text is kept
+    words = w.select(F.explode(F.concat("w", F.array(F.lit(LINES)))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where((F.col("n") >= least) | (F.col("word") == LINES))
     words = kept(words.withColumn("id", F.monotonically_increasing_id()))
+    total = words.where(F.col("word") == LINES).agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    words = words.where(F.col("word") != LINES)
     numbered = w.withColumn("line", F.monotonically_increasing_id()).select("line", F.explode("w").alias("word")).join(words.select("word", "id"), "word")
     kept_words = numbered.groupBy("line").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     pairs = F.flatten(F.transform("ids", lambda a, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     counts = kept_words.where(F.size("ids") > 1).select(F.inline(pairs)).groupBy("a", "b").agg(F.count("*").alias("cnt")).where(F.col("cnt") >= least)
     a, b = (words.select(F.col("id").alias(k), F.col("word").alias(f"w{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
-    named = counts.join(a, "a").join(b, "b").withColumn("total", F.lit(w.count()))
+    named = counts.join(a, "a").join(b, "b").withColumn("total", F.lit(total))
     first = F.col("wa") < F.col("wb")
     pick = lambda p, q: F.when(first, F.col(p)).otherwise(F.col(q))
     return named.select(pick("wa", "wb").alias("x"), pick("wb", "wa").alias("y"), "cnt", pick("na", "nb").alias("px"), pick("nb", "na").alias("py"), "total")

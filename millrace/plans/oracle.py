@@ -86,7 +86,7 @@ descent(i, w) AS (SELECT 0::bigint, list_transform(range(1000), lambda k: 0::dou
   SELECT d.i, list_transform(list_zip(s.w, d.v), lambda z: z[1] + z[2] * 0.002::double * (d.y - 1 / (1 + exp(-list_inner_product(s.w, d.v))))) FROM descent s JOIN dense d ON d.i = s.i + 1),
 final AS (SELECT unnest(w) AS weight, unnest(range(1000)) AS feature FROM descent WHERE i = (SELECT max(i) FROM numbered))
 SELECT feature::int AS feature, round(weight, 9) + 0.0 AS weight FROM final WHERE feature IN (SELECT feature FROM flat)""",
-    "spam_apply": f"WITH {_EACH}, scored AS (SELECT docid, label, round(s, 6) AS score FROM each_one WHERE model_id = 0) SELECT docid, label, score, CASE WHEN score > 0 THEN 'spam' ELSE 'ham' END AS prediction FROM scored",
-    "spam_ensemble_average": f"WITH {_EACH}, scored AS (SELECT docid, label, sum(s) / 3 AS score FROM each_one GROUP BY docid, label) SELECT docid, label, round(score, 6) AS score, CASE WHEN round(score, 9) > 0 THEN 'spam' ELSE 'ham' END AS prediction FROM scored",
+    "spam_apply": f"WITH {_EACH}, scored AS (SELECT docid, label, round(s, 6) + 0.0 AS score FROM each_one WHERE model_id = 0) SELECT docid, label, score, CASE WHEN score > 0 THEN 'spam' ELSE 'ham' END AS prediction FROM scored",
+    "spam_ensemble_average": f"WITH {_EACH}, scored AS (SELECT docid, label, sum(s) / 3 AS score FROM each_one GROUP BY docid, label) SELECT docid, label, round(score, 6) + 0.0 AS score, CASE WHEN round(score, 9) > 0 THEN 'spam' ELSE 'ham' END AS prediction FROM scored",
     "spam_ensemble_vote": f"WITH {_EACH}, scored AS (SELECT docid, label, (2 * sum((round(s, 9) > 0)::int) - 3)::double AS score FROM each_one GROUP BY docid, label) SELECT docid, label, score, CASE WHEN score > 0 THEN 'spam' ELSE 'ham' END AS prediction FROM scored",
 }

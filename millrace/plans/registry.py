@@ -129,12 +129,12 @@ def spam_train(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def spam_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = closed_models(spark).where("model_id = 0").select("feature", "weight")
-    s = linear.scores(spam_instances(spark, sf_dir), model).withColumn("score", F.round("score", 6))
+    s = linear.scores(spam_instances(spark, sf_dir), model).withColumn("score", F.round("score", 6) + 0.0)
     return s.withColumn("prediction", F.when(F.col("score") > 0, "spam").otherwise("ham"))
 
 
 def spam_ensemble(method: str) -> Query:
-    return lambda spark, sf_dir: linear.ensemble(spam_instances(spark, sf_dir), closed_models(spark), method).withColumn("score", F.round("score", 6))
+    return lambda spark, sf_dir: linear.ensemble(spam_instances(spark, sf_dir), closed_models(spark), method).withColumn("score", F.round("score", 6) + 0.0)
 
 
 QUERIES: dict[str, Query] = {

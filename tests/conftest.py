@@ -12,7 +12,7 @@ os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, (ROOT, os.environ.get("P
 def spark():
     from millrace.session import session
 
-    s = session("local[8]", "tests", spark__sql__shuffle__partitions="4", spark__driver__memory="6g")
+    s = session("local[8]", "tests", spark__sql__shuffle__partitions="2", spark__driver__memory="6g")
     yield s
     s.stop()
 
