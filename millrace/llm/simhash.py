@@ -20,7 +20,8 @@ in Gray order and are pruned where both fingerprints together differ in more tha
 that share a pattern stay under once in a million times. What is left is pruned by the texts' numbers of shingles, which a
 similarity of 0.8 bounds, and by a sketch of 128 bytes, where its estimate is four standard errors too low; the rest is
 verified on the texts. A node of more than `SMALL` members is covered by leaders, each compared with all members, so near
-copies give pairs in proportion to their number; in a node of `LARGE` members or more the first leader is the one nearest to
+copies give pairs in proportion to their number; a member that has a nearer leader already is paired with a further one only
+where they differ in `CLOSE` = 20 bits or fewer, about what a similarity of 0.8 makes. In a node of `LARGE` members or more the first leader is the one nearest to
 their majority, which in a large group of copies is about the same in all nodes. A task holds `CHUNK` rows, and of a
 larger node the leaders found so far. Of pairs that differ in 8 bits of a fingerprint, 99 % share a node of it;
 in 10 bits, 94 %; in 12 bits, 78 %; the second one makes up for an unlucky first. A wider corpus takes a larger WIDTH and
@@ -60,6 +61,8 @@ SIMILAR_SHINGLE, SIMILARITY, WIDTH, WIDE_MASKS, FAR = 5, 0.8, 14, 40, 30
 SMALL = 8
 #: Members of a node from which on its first leader is sought by majority.
 LARGE = 32
+#: Bits of two fingerprints up to which a member is paired with a leader whatever nearer ones it has.
+CLOSE = 20
 ONES = np.array([bin(i).count("1") for i in range(256)], np.int64)
 
 
@@ -314,7 +317,7 @@ def near_in_nodes(node: np.ndarray, fp: np.ndarray, second: np.ndarray, far: int
     the row numbers of the leaders.
 
     Rows lie by node. In a large node the most central row leads first, then the first row that no leader is near, and so on;
-    each leader is compared with the whole node.
+    each leader is compared with the whole node, and paired with the rows that have no nearer leader yet or are close.
     """
     differ = lambda i, j: np.bitwise_count(fp[i] ^ fp[j]) + np.bitwise_count(second[i] ^ second[j])
     start = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
@@ -329,7 +332,7 @@ def near_in_nodes(node: np.ndarray, fp: np.ndarray, second: np.ndarray, far: int
         a.append(near)
         b.append(near + d)
     rows, free = np.flatnonzero(size[of] > SMALL), size[of] > SMALL
-    leader = np.zeros(len(start), np.int64) - 1
+    leader, nearest = np.zeros(len(start), np.int64) - 1, np.full(len(node), 255, np.uint8)
     for k in np.flatnonzero(size >= LARGE):
         own = slice(start[k], start[k] + size[k])
         leader[k] = start[k] + central(fp[own], second[own])
@@ -341,9 +344,11 @@ def near_in_nodes(node: np.ndarray, fp: np.ndarray, second: np.ndarray, far: int
         rows = rows[leader[of[rows]] >= 0]
         top = leader[of[rows]]
         led.append(np.unique(top))
-        near = differ(rows, top) <= far
+        d = differ(rows, top)
+        near = d <= far
         free[rows[near]] = False
-        other = near & (rows != top)
+        other = near & (rows != top) & ((d <= nearest[rows]) | (d <= CLOSE))
+        nearest[rows] = np.minimum(nearest[rows], d)
         a.append(top[other])
         b.append(rows[other])
         leader[:] = -1
