@@ -20,7 +20,9 @@ in Gray order and are pruned where both fingerprints together differ in more tha
 that share a pattern stay under once in a million times. What is left is pruned by the texts' numbers of shingles, which a
 similarity of 0.8 bounds, and by a sketch of 128 bytes, where its estimate is four standard errors too low; the rest is
 verified on the texts. A node of more than `SMALL` members is covered by leaders, each compared with all members, so near
-copies give pairs in proportion to their number; a member that has a nearer leader already is paired with a further one only
+copies give pairs in proportion to their number. A leader stands only for the texts that are verified to be its copies: all
+texts that met another are looked up once more, each with the component that the verified pairs give, and any two in a node
+of different components are compared, in blocks of `BLOCK` rows. Among leaders, a member that has a nearer leader already is paired with a further one only
 where they differ in `CLOSE` = 20 bits or fewer, about what a similarity of 0.8 makes. In a node of `LARGE` members or more the first leader is the one nearest to
 their majority, which in a large group of copies is about the same in all nodes. A task holds `CHUNK` rows, and of a
 larger node the leaders found so far. Of pairs that differ in 8 bits of a fingerprint, 99 % share a node of it;
@@ -35,6 +37,7 @@ columns are not read, and pass through `drop_near_copies` whatever their names.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -53,6 +56,8 @@ SHINGLE = 3
 MASKS = list(combinations(range(8), 2))
 #: Rows after which a task closes a chunk, at the next node's start.
 CHUNK = 200_000
+#: Rows of a node that are held against each other at once, where leaders don't settle it.
+BLOCK = 8192
 #: Pairs expanded at once.
 PAIRS = 2_000_000
 #: Of drop_near_copies: words of a shingle, least similarity, bits of a masked pattern, masks, most bits of two fingerprints that may differ.
@@ -368,7 +373,12 @@ def _search_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = np.unique(both, axis=0)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, k])) for k in range(4)], ["a", "a2", "b", "b2"]), led
 
-    held, n = [], 0
+    def alone(columns: list[np.ndarray], which: np.ndarray) -> pa.RecordBatch:
+        ranks = columns[1][which].view(np.uint64)
+        fp, second = pa.array((ranks ^ (ranks >> np.uint64(1))).view(np.int64)), pa.array(columns[2][which])
+        return pa.RecordBatch.from_arrays([fp, second, fp, second], ["a", "a2", "b", "b2"])
+
+    held, n, broken = [], 0, None
     for batch in batches:
         held.append([batch.column(k).to_numpy() for k in range(3)])
         n += len(batch)
@@ -378,13 +388,98 @@ def _search_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cut = len(node) - int(np.argmax(node[::-1] != node[-1])) if node[0] != node[-1] else 0
             out, led = pairs(*(c[:cut] for c in columns)) if cut else pairs(*columns)
             yield out
+            if not cut or node[0] == broken:  # later rows of the node don't meet these: all are told, each paired with itself
+                broken = node[0]
+                yield alone(columns, node == broken)
             # of a node that fills a chunk the leaders go on
             held = [[c[cut:] for c in columns]] if cut else [[c[np.sort(led)] for c in columns]]
             n = len(held[0][0])
             if not cut and n >= CHUNK // 2:  # all of them far from each other: wait for as many rows again
                 n = 0
     if held and len(held[0][0]):
-        yield pairs(*(np.concatenate(c) for c in zip(*held)))[0]
+        columns = [np.concatenate(c) for c in zip(*held)]
+        yield pairs(*columns)[0]
+        if columns[0][0] == broken:
+            yield alone(columns, columns[0] == broken)
+
+
+def _spread_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts (label, fp, fp2, th, n) under their 2 * WIDE_MASKS nodes: (node, label, fp, fp2, th, n)."""
+    masks, one = wide_masks(), np.uint64(1)
+    for batch in batches:
+        for i in range(0, len(batch), 4096):
+            part = batch.slice(i, 4096)
+            fps = [part.column(k).to_numpy().view(np.uint64) for k in (1, 2)]
+            for m, bits in enumerate(masks):
+                node = np.full(len(part), m, np.int64)
+                for b in bits:
+                    node = node << 1 | ((fps[m // WIDE_MASKS] >> np.uint64(b)) & one).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(node), *part.columns], ["node", "label", "fp", "fp2", "th", "n"])
+
+
+def across(x: np.ndarray, y: np.ndarray, similarity: float, far: int = FAR) -> Iterator[np.ndarray]:
+    """(th, th) of all pairs of a row of x with a row of y, of the same node but of two labels, that differ in `far` bits or
+    fewer and are of similar size. Columns: node, label, fp, fp2, th, n; rows of y lie by node. No more than PAIRS at once."""
+    first, end = np.searchsorted(y[0], x[0], side="left"), np.searchsorted(y[0], x[0], side="right")
+    reps = end - first
+    ends = np.cumsum(reps)
+    i = 0
+    while i < len(reps):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIRS, side="right")))
+        r = reps[i:j]
+        a = np.repeat(np.arange(i, j), r)
+        b = np.arange(len(a)) - np.repeat(np.cumsum(r) - r, r) + np.repeat(first[i:j], r)
+        good = x[1][a] != y[1][b]
+        a, b = a[good], b[good]
+        # as unsigned numbers: of a negative one its absolute value is counted
+        good = sum(np.bitwise_count((x[k][a] ^ y[k][b]).view(np.uint64)) for k in (2, 3)) <= far
+        a, b = a[good], b[good]
+        good = np.minimum(x[5][a], y[5][b]) >= similarity * np.maximum(x[5][a], y[5][b])
+        a, b = x[4][a[good]], y[4][b[good]]
+        if len(a):
+            yield np.stack((np.minimum(a, b), np.maximum(a, b)))
+        i = j
+
+
+def _search_open(similarity: float):
+    """(ta, tb): all pairs in a node of texts of two labels that are near and of similar size. Rows lie by node and label. A
+    node's rows of earlier blocks wait in a file, so a task holds two blocks whatever the node's size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(found: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for p in found:
+                p = np.unique(p, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in p], ["ta", "tb"])
+
+        def own(x: np.ndarray) -> Iterator[np.ndarray]:
+            """Within a block: of the nodes that hold two labels."""
+            start, end = np.searchsorted(x[0], x[0], side="left"), np.searchsorted(x[0], x[0], side="right")
+            x = x[:, x[1][start] != x[1][end - 1]]
+            return across(x, x, similarity)
+
+        with tempfile.TemporaryFile() as file:
+            waiting, open_node = [], None
+            for batch in batches:
+                for i in range(0, len(batch), BLOCK):
+                    x = np.stack([batch.column(k).slice(i, BLOCK).to_numpy() for k in range(6)])
+                    yield from told(own(x))
+                    if open_node is not None and x[0, 0] == open_node:
+                        head = x[:, x[0] == open_node]
+                        for at, rows, low, high in waiting:
+                            if low == high == head[1, 0] == head[1, -1]:
+                                continue
+                            file.seek(at)
+                            yield from told(across(head, np.frombuffer(file.read(rows * 48), np.int64).reshape(6, rows), similarity))
+                    if x[0, -1] != open_node:
+                        open_node, waiting = x[0, -1], []
+                        file.seek(0)
+                        file.truncate()
+                    tail = np.ascontiguousarray(x[:, x[0] == open_node])
+                    at = file.seek(0, 2)
+                    file.write(tail.tobytes())
+                    waiting.append((at, tail.shape[1], tail[1, 0], tail[1, -1]))
+
+    return run
 
 
 def _verifier(similarity: float, shingle: int):
@@ -407,28 +502,52 @@ def _verifier(similarity: float, shingle: int):
 NULL_ID = -(2**63)
 
 
-def candidates(texts: DataFrame, similarity: float) -> DataFrame:
-    """(ta, tb, sa, sb): text hashes and sketches of pairs that are near by their fingerprints and of similar size."""
+def sized(pairs: DataFrame, similarity: float) -> DataFrame:
+    return pairs.where(F.least("na", "nb") >= similarity * F.greatest("na", "nb")).select("ta", "tb", "sa", "sb")
+
+
+def candidates(texts: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(ta, tb, sa, sb): text hashes and sketches of pairs that are near by their fingerprints and of similar size, of members
+    of large nodes with leaders only; and (fp, fp2) of all texts among which further pairs may be."""
     p = partitions(texts.sparkSession)
     # of the texts with the same fingerprints, one stands for all in the index; the others are held against it
     stands = kept(texts.groupBy("fp", "fp2").agg(F.min(F.struct("th", "n", "sketch")).alias("s"), F.count("*").alias("texts")))
     nodes = stands.select("fp", "fp2").mapInArrow(_spread_wide, "node long, rank long, second long")
-    near = nodes.repartition(p, "node").sortWithinPartitions("node", "rank").mapInArrow(_search_wide, "a long, a2 long, b long, b2 long").distinct()
+    near = kept(nodes.repartition(p, "node").sortWithinPartitions("node", "rank").mapInArrow(_search_wide, "a long, a2 long, b long, b2 long").distinct())
     own = lambda k: stands.select(F.col("fp").alias(k), F.col("fp2").alias(f"{k}2"), F.col("s.th").alias(f"t{k}"), F.col("s.n").alias(f"n{k}"), F.col("s.sketch").alias(f"s{k}"))
-    pairs = near.join(own("a"), ["a", "a2"]).join(own("b"), ["b", "b2"]).select("ta", "tb", "sa", "sb", "na", "nb")
+    pairs = near.where("a <> b or a2 <> b2").join(own("a"), ["a", "a2"]).join(own("b"), ["b", "b2"]).select("ta", "tb", "sa", "sb", "na", "nb")
     same = texts.select("fp", "fp2", F.col("th").alias("tb"), F.col("sketch").alias("sb"), F.col("n").alias("nb")).join(stands.where("texts > 1").select("fp", "fp2", "s"), ["fp", "fp2"]).where("tb <> s.th").select(F.col("s.th").alias("ta"), "tb", F.col("s.sketch").alias("sa"), "sb", F.col("s.n").alias("na"), "nb")
-    sized = lambda df: df.where(F.least("na", "nb") >= similarity * F.greatest("na", "nb")).select("ta", "tb", "sa", "sb")
-    return sized(pairs).union(sized(same))
+    met = near.select(F.col("a").alias("fp"), F.col("a2").alias("fp2")).union(near.select("b", "b2")).union(stands.where("texts > 1").select("fp", "fp2")).distinct()
+    return sized(pairs.union(same), similarity), met
 
 
-def similar_texts(texts: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
-    """(a, b): verified links between text hashes. texts: (th, fp, fp2, n, sketch, key), one row a text; docs: (doc_id, th, text)."""
-    pairs = kept(candidates(texts, similarity).mapInArrow(_pruner(similarity), "ta long, tb long"))
+def open_pairs(texts: DataFrame, met: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """(ta, tb, sa, sb): near pairs of met texts that the links found so far don't join. A text that a leader is near to was not
+    held against the others that one is near to, so all of different components are here, whatever the size of a node."""
+    roots = components(links).select(F.col("node").alias("th"), "root")
+    rows = texts.join(met, ["fp", "fp2"]).join(roots, "th", "left").select(F.coalesce("root", "th").alias("label"), "fp", "fp2", "th", "n")
+    nodes = rows.mapInArrow(_spread_open, "node long, label long, fp long, fp2 long, th long, n long")
+    p = partitions(texts.sparkSession)
+    pairs = nodes.repartition(p, "node").sortWithinPartitions("node", "label").mapInArrow(_search_open(similarity), "ta long, tb long").distinct()
+    own = lambda k: texts.select(F.col("th").alias(f"t{k}"), F.col("sketch").alias(f"s{k}"))
+    return pairs.join(own("a"), "ta").join(own("b"), "tb").select("ta", "tb", "sa", "sb")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(a, b): the pairs (ta, tb, sa, sb) that are similar, first by their sketches, then by their texts."""
+    pairs = kept(pairs.mapInArrow(_pruner(similarity), "ta long, tb long"))
     wanted = pairs.select(F.explode(F.array("ta", "tb")).alias("th")).distinct().join(texts, "th").select("th", "key")
     d = docs.select("th", F.coalesce("doc_id", F.lit(NULL_ID)).alias("key"), "text").join(wanted, ["th", "key"])
     full = kept(d.groupBy("th", "key").agg(F.first("text").alias("text")))
     both = pairs.join(full.select(F.col("th").alias("ta"), F.col("text").alias("x")), "ta").join(full.select(F.col("th").alias("tb"), F.col("text").alias("y")), "tb")
-    return both.select("ta", "tb", "x", "y").mapInArrow(_verifier(similarity, shingle), "a long, b long")
+    return kept(both.select("ta", "tb", "x", "y").mapInArrow(_verifier(similarity, shingle), "a long, b long"))
+
+
+def similar_texts(texts: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+    """(a, b): verified links between text hashes. texts: (th, fp, fp2, n, sketch, key), one row a text; docs: (doc_id, th, text)."""
+    pairs, met = candidates(texts, similarity)
+    led = verified(pairs, texts, docs, similarity, shingle)
+    return led.union(verified(open_pairs(texts, met, led, similarity), texts, docs, similarity, shingle))
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE) -> DataFrame:

@@ -148,3 +148,37 @@ def test_a_node_larger_than_a_chunk(monkeypatch):
     root = classes(len(x), pairs)
     first = [known[tuple(map(int, r))] for r in x[order][:900].view(np.int64)]
     assert len({root[i] for i in first}) == 3
+
+
+def family(r, members, copied, words=200, own=35):
+    """Texts of Jaccard about 0.7 to each other, of which some have a near copy."""
+    core = [f"c{i}" for i in range(words - own)]
+    texts = [core + [f"t{r.randrange(10**9)}" for _ in range(own)] for _ in range(members)]
+    return [" ".join(t) for t in texts] + [" ".join(t[:-18] + [f"u{k}x{i}" for i in range(18)]) for k, t in enumerate(texts[:copied])]
+
+
+def test_near_copies_inside_a_large_family(spark):
+    texts = family(random.Random(7), 300, 60)
+    s = [simhash.shingles(t) for t in texts]
+    similar = [(b, a) for a in range(len(s)) for b in range(a) if len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b])]
+    assert similar == [(k, 300 + k) for k in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    kept = {r[0] for r in simhash.drop_near_copies(df).select("doc_id").collect()}
+    assert kept == set(range(300))
+
+
+def test_open_pairs_do_not_depend_on_blocks(monkeypatch):
+    import pyarrow as pa
+
+    x = near_rows(8, 3, 100, 8).view(np.int64)
+    r = np.random.RandomState(9)
+    node, label = np.sort(r.randint(0, 4, 300)), r.randint(0, 5, 300)
+    label[node == 2] = 1
+    order = np.lexsort((label, node))
+    node, label, x, th, n = node[order], label[order], x[order], np.arange(300), r.randint(80, 120, 300)
+    columns = [node, label, np.ascontiguousarray(x[:, 0]), np.ascontiguousarray(x[:, 1]), th, n]
+    want = {(j, i) for i in range(300) for j in range(i) if node[i] == node[j] and label[i] != label[j] and np.bitwise_count((x[i] ^ x[j]).view(np.uint64)).sum() <= simhash.FAR and min(n[i], n[j]) >= 0.8 * max(n[i], n[j])}
+    for block, rows in ((8192, 300), (16, 37), (7, 100)):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + rows]) for c in columns], ["node", "label", "fp", "fp2", "th", "n"]) for i in range(0, 300, rows)]
+        assert {(p["ta"], p["tb"]) for out in simhash._search_open(0.8)(iter(batches)) for p in out.to_pylist()} == want
