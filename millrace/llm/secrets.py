@@ -1,14 +1,16 @@
 """Secret scans: three base patterns, and a battery of randomness tests for what has no keyword.
 
 Base spans (assign, access, hex) come from regular expressions over the whole text. The method then takes every further
-run of 20 or more token characters that overlaps no base span, infers its encoding (hex, base32, base36, base62, base64),
-and tests it in two directions:
+run of 20 or more token characters that overlaps no base span, infers its encoding (hex, letters, base32, base36, base62,
+base64), and tests it in two directions:
 
 * as random text of that alphabet: chi-squared uniformity over the alphabet's classes, the Wald-Wolfowitz runs test about
   the alphabet's middle, and the lag-1 serial correlation of the symbol ranks; Fisher's method joins the three. A
   candidate must not be rejected (p >= 0.01).
-* as written text, whose neighbours seldom change between lower case, upper case, digit and sign: the number of changes
-  under a binomial with rate 0.12 gives the p-value of a discovery. Long texts offer more candidates, so discoveries are
+* as written text of that alphabet: a letter follows its predecessor as letter pairs do in words (English, some German,
+  French and Spanish), and neighbours change between lower case, upper case, digit and sign at a rate of 0.12. Of a token
+  that is written so, the ratio of this probability to that of random text is below x with a probability of x at most,
+  whatever the alphabet and length, so it is the p-value of a discovery. Long texts offer more candidates, so discoveries are
   controlled per document by Benjamini-Hochberg with weights by length (longer candidates carry more evidence) at 1e-4.
 
 Nulls and edges: a null or empty text has no spans. Repeated rows each get their own row. Extra columns are not read.
@@ -31,19 +33,43 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORDS = ("passw", "secret", "token", "api")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+#: -ln of the probabilities of a class that stays or changes to a given other one, and of a digit or sign of its class.
+STAY, CHANGE, DIGIT, SIGN = -math.log(1 - 0.12), -math.log(0.12 / 3), math.log(10), math.log(4)
 KINDS = {"assign": 0, "access": 1, "hex": 2, "random": 3}
 
-RANDOM_P, DISCOVERY_RATE, CHANGE_RATE = 0.01, 1e-4, 0.12
+RANDOM_P, DISCOVERY_RATE = 0.01, 1e-4
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
+    "lower": "abcdefghijklmnopqrstuvwxyz",
+    "UPPER": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base32lower": "abcdefghijklmnopqrstuvwxyz234567",
     "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
     "BASE36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
+#: Of written text, four times -ln of the probability of a letter, as digits of base 36, by alphabet: of a first letter, then of
+#: one that follows a, b, c ...
+WRITTEN = """
+adbbbdgfbkjddddcicaaegekji
+hdbcgggicli9c9iel9a8ehjjhn 9ieg6jkk9dn8ihchncdfamlncl
+9lfi8kl8coccii7jmdg9dmmoko aeed5gii9mmegfafldbddjhmjm
+chbadfhidnmdd9gei88bhhiejl 9iffabjj7ondhg8hmbebaljnhn
+bgee7gfdanhdfbcflcacbihmlk 6jhh5ikj9onfhg9incfcflhnkn
+egcebefliojcd6agnda9kfmjnh ckii5kllhojjji6jnibg7mlolo
+chee5ghi9nmbgefdlf9dfjenkm 9igd6gkk9om9ih9gkgccdkjncm
+7dhh5jlkaomhdha9nhefelknjn aiba9f9jcnjghebgmga7fhjnjm
+feccfeikfoidc7edn7ccbgflmn 8khe7jlidonajh9cn8ebcjlnfo
+imkiglmlipojkhjkohgi1nnono 9hed6gfjaojgedaglcbbeiingn
+chce8gifanjfffccjfa7cjhmgm aief7hk98omfggbfmabcdkgmfl
+efeh8ghleknbb8hdo89ajimijo 7ljj3lml9oojjiajoihhkmmono
+8khh9kl95ongjd9inbdffmilmo ah9f8gkhanmgggg9mfe6ikihkk
+bfcdbehhbmledbb9kea9giemjk cjgh4ikjbonifgehnhfe6ljnlm
+""".split()
 RANKS = {k: {c: i for i, c in enumerate(v)} for k, v in ALPHABETS.items()}
 SETS = {k: frozenset(v) for k, v in ALPHABETS.items()}
 
@@ -55,6 +81,16 @@ def kind_of(c: str) -> int:
 CLASS = [kind_of(chr(c)) for c in range(128)]
 
 
+def written_costs() -> tuple[list[float], list[list[float]]]:
+    """-ln of the probabilities in WRITTEN, each row made to sum to 1."""
+    rows = [[math.exp(-int(c, 36) / 4) for c in row] for row in WRITTEN]
+    rows = [[-math.log(p / sum(row)) for p in row] for row in rows]
+    return rows[0], rows[1:]
+
+
+FIRST, NEXT = written_costs()
+
+
 def encoding(token: str) -> str | None:
     """The smallest alphabet that holds all characters of the token."""
     seen = set(token.rstrip("="))
@@ -78,8 +114,8 @@ def uniformity(token: str, alphabet: str) -> float:
     n, ranks = len(token), RANKS[alphabet]
     symbols = ALPHABETS[alphabet]
     classes = [CLASS[ord(c)] for c in symbols]
-    if len(symbols) <= 16:
-        groups = {c: ranks[c] // 4 for c in symbols}
+    if len(symbols) <= 16 or len(set(classes)) == 1:
+        groups = {c: ranks[c] * 4 // len(symbols) for c in symbols}
     else:
         groups = {c: k if k < 3 else 2 for c, k in zip(symbols, classes)}
     expected: dict[int, int] = {}
@@ -122,18 +158,26 @@ def battery(token: str) -> tuple[str | None, float, float]:
     ranks = np.fromiter((RANKS[alphabet][c] for c in body), float, len(body))
     ps = [max(p, 1e-300) for p in (uniformity(body, alphabet), runs(ranks, len(ALPHABETS[alphabet])), serial(ranks))]
     joint = chi2_sf(-2 * sum(map(math.log, ps)), 6)
-    n = len(body) - 1
-    changes = sum(CLASS[ord(a)] != CLASS[ord(b)] for a, b in zip(body, body[1:]))
-    return alphabet, joint, binomial_tail(changes, n, CHANGE_RATE)
-
-
-def binomial_tail(k: int, n: int, p: float) -> float:
-    """P(X >= k), bounded by Chernoff where k is above the mean."""
-    if k <= n * p:
-        return 1.0
-    q = k / n
-    d = q * math.log(q / p) + ((1 - q) * math.log((1 - q) / (1 - p)) if q < 1 else 0.0)
-    return math.exp(-n * d)
+    return alphabet, joint, math.exp(min(0.0, len(body) * math.log(len(ALPHABETS[alphabet])) - written_cost(body)))
+
+
+def written_cost(body: str) -> float:
+    """-ln of the probability of written text: of each character's class, then of the character in it."""
+    cost, before, last = 0.0, None, -1
+    for c in body:
+        k = CLASS[ord(c)]
+        if before is not None:
+            cost += STAY if k == before else CHANGE
+        if k < 2:
+            letter = ord(c) % 32 - 1
+            # a capital amid small letters starts a word; after capitals small letters go on
+            cost += FIRST[letter] if last < 0 or (before == 0 and k == 1) else NEXT[last][letter]
+            last = letter
+        else:
+            cost += DIGIT if k == 2 else SIGN
+            last = -1
+        before = k
+    return cost
 
 
 def discoveries(candidates: list[tuple[int, int, float]]) -> list[tuple[int, int]]:

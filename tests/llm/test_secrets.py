@@ -37,3 +37,17 @@ def test_false_discoveries_grow_no_faster_than_texts():
     words = ["station", "kernel", "value", "module", "data", "index"]
     text = " ".join("".join(r.choice(words) for _ in range(4)) for _ in range(5000))
     assert secrets.spans(text) == []
+
+
+def test_random_tokens_of_every_encoding_are_found():
+    r = random.Random(11)
+    low, up, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    for alphabet in (digits + "ABCDEF", low, up, up + "234567", low + "234567", low + digits, up + digits, low + up, low + up + digits, low + up + digits + "+/", low + up + digits + "-_"):
+        for n in (20, 32, 64):
+            found = sum(any(k == 3 for _, k, _ in secrets.spans(f"here it is {''.join(r.choice(alphabet) for _ in range(n))} and so on")) for _ in range(200))
+            assert found >= 165, (alphabet, n, found)
+
+
+def test_long_words_and_names_are_not_found():
+    for word in ("lentokonesuihkuturbiinimoottori", "rechtsschutzversicherungsgesellschaften", "getHTTPResponseCodeFromURLv2", "RINDFLEISCHETIKETTIERUNGSUEBERWACHUNG", "anticonstitutionnellement2023", "zhonghuarenmingongheguo"):
+        assert secrets.spans(f"see {word} there") == []
