@@ -1,9 +1,10 @@
 """Document fingerprints by winnowing.
 
-Hashes of all k-grams of code points roll by doubling (a 2j-gram's hash from two j-grams'), and of every window of
-`window` consecutive hashes the least is chosen, the rightmost of equal ones. Any match of window + k - 1 code points
-between two texts so shares a chosen hash, whose positions are kept. A text of fewer than k code points has one hash, that
-of the whole text; one with fewer k-grams than a window has the least of them.
+Hashes of all k-grams of code points (k = 16) roll by doubling (a 2j-gram's hash from two j-grams'), and of every window of
+`window` = 16 consecutive hashes the least is chosen, the rightmost of equal ones. Any match of window + k - 1 = 31 code points
+between two texts so shares a chosen hash, whose positions are kept. A text of fewer than twice as many code points keeps all
+its k-grams, so that two thirds of it are found again; one of fewer than window + k - 1 has all its 2-grams before them. A
+single code point has one hash, that of the text.
 
 A fingerprint is written as position:hash, comma-joined, positions in code points and hashes as eight hex digits. Likeness
 is the Jaccard index of the multisets of hashes; two empty texts are alike (1), an empty and another one are not (0).
@@ -30,7 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import partitions
 
-K, WINDOW = 32, 64
+K, WINDOW = 16, 16
+#: Code points of the grams that texts shorter than a sure match have besides.
+SHORT = 2
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -67,11 +70,15 @@ def fingerprint(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray
     if not text:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    if len(points) < k:
+    if len(points) < SHORT:
         whole = np.frombuffer(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=4).digest(), np.uint32).astype(np.uint64)
         return np.zeros(1, np.uint64), whole
+    sure = window + k - 1
     with np.errstate(over="ignore"):
-        return choose(gram_hashes(points, k), window)
+        if len(points) >= 2 * sure:
+            return choose(gram_hashes(points, k), window)
+        grams = [gram_hashes(points, j) for j in (SHORT, k) if j <= len(points) and (j == k or len(points) < sure)]
+    return np.concatenate([np.arange(len(h), dtype=np.uint64) for h in grams]), np.concatenate(grams)
 
 
 def written(print_: tuple[np.ndarray, np.ndarray]) -> str:

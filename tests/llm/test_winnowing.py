@@ -70,3 +70,21 @@ def test_rows(spark):
 def test_one_row_is_its_own_next(spark):
     (x,) = w.fingerprints(spark.createDataFrame([(1, "abcdef")], "doc_id long, text string")).collect()
     assert x["near_next"] == 1.0 and x["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest()
+
+
+def test_short_texts_keep_their_likeness():
+    """Two thirds of a text are found again in its edited form, whatever its length and the next text's."""
+    r = random.Random(5)
+    for n in list(range(1, 130)) + [200, 400]:
+        for rest in (0, 1, 5, 400):
+            text, other = ("".join(r.choice("abcdefghijklmno pqrstuvwxyz") for _ in range(size)) for size in (n, rest))
+            assert w.likeness(w.fingerprint(text)[1], w.fingerprint(w.edited(text, other))[1]) > 0, (n, rest)
+
+
+def test_matches_of_31_code_points_are_found():
+    r = random.Random(6)
+    text = lambda n: "".join(r.choice("abcdefghij klmno") for _ in range(n))
+    for _ in range(100):
+        part = text(31)
+        a, b = (text(r.randrange(300)) + part + text(r.randrange(300)) for _ in range(2))
+        assert set(w.fingerprint(a)[1].tolist()) & set(w.fingerprint(b)[1].tolist())
