@@ -23,7 +23,8 @@ verified on the texts. A node of more than `SMALL` members is covered by leaders
 copies give pairs in proportion to their number. A leader stands only for the texts that are verified to be its copies: all
 texts that met another are looked up once more, each with the component that the verified pairs give, and any two in a node
 of different components are compared, in blocks of `BLOCK` rows. Among leaders, a member that has a nearer leader already is paired with a further one only
-where they differ in `CLOSE` = 20 bits or fewer, about what a similarity of 0.8 makes. In a node of `LARGE` members or more the first leader is the one nearest to
+where they differ in `CLOSE` = 20 bits or fewer, about what a similarity of 0.8 makes; the other pairs wait until the nearer
+one is verified and follow if the components then differ. In a node of `LARGE` members or more the first leader is the one nearest to
 their majority, which in a large group of copies is about the same in all nodes. A task holds `CHUNK` rows, and of a
 larger node the leaders found so far. Of pairs that differ in 8 bits of a fingerprint, 99 % share a node of it;
 in 10 bits, 94 %; in 12 bits, 78 %; the second one makes up for an unlucky first. A wider corpus takes a larger WIDTH and
@@ -322,7 +323,8 @@ def near_in_nodes(node: np.ndarray, fp: np.ndarray, second: np.ndarray, far: int
     the row numbers of the leaders.
 
     Rows lie by node. In a large node the most central row leads first, then the first row that no leader is near, and so on;
-    each leader is compared with the whole node, and paired with the rows that have no nearer leader yet or are close.
+    each leader is compared with the whole node, and paired with the rows that have no nearer leader yet or are close; where
+    a near row is passed over, the leader is paired with itself, so that both are among the texts looked up once more.
     """
     differ = lambda i, j: np.bitwise_count(fp[i] ^ fp[j]) + np.bitwise_count(second[i] ^ second[j])
     start = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
@@ -353,9 +355,10 @@ def near_in_nodes(node: np.ndarray, fp: np.ndarray, second: np.ndarray, far: int
         near = d <= far
         free[rows[near]] = False
         other = near & (rows != top) & ((d <= nearest[rows]) | (d <= CLOSE))
+        passed = np.unique(top[near & (rows != top) & ~other])
         nearest[rows] = np.minimum(nearest[rows], d)
-        a.append(top[other])
-        b.append(rows[other])
+        a += [top[other], passed]
+        b += [rows[other], passed]
         leader[:] = -1
     return np.concatenate(a), np.concatenate(b), np.concatenate(led)
 

@@ -182,3 +182,16 @@ def test_open_pairs_do_not_depend_on_blocks(monkeypatch):
         monkeypatch.setattr(simhash, "BLOCK", block)
         batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + rows]) for c in columns], ["node", "label", "fp", "fp2", "th", "n"]) for i in range(0, 300, rows)]
         assert {(p["ta"], p["tb"]) for out in simhash._search_open(0.8)(iter(batches)) for p in out.to_pylist()} == want
+
+
+def test_a_leader_passed_over_for_a_nearer_one_is_looked_up_again():
+    r = np.random.RandomState(12)
+    bits = r.permutation(64)
+    flip = lambda row, at: row ^ np.array([sum(1 << int(b) for b in at), 0], np.uint64)
+    lead = r.randint(0, 2**63, 2).astype(np.uint64)
+    member = flip(lead, bits[:10])
+    further = flip(member, bits[10:35])
+    x = np.vstack([lead, member, further, *(r.randint(0, 2**63, 2).astype(np.uint64) for _ in range(8))])
+    a, b, led = simhash.near_in_nodes(np.zeros(len(x), np.int64), x[:, 0].copy(), x[:, 1].copy())
+    assert {0, 2} <= set(led.tolist()) and (0, 1) in zip(a, b) and (2, 1) not in zip(a, b)
+    assert {0, 1, 2} <= set(a.tolist()) | set(b.tolist())
