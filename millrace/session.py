@@ -12,6 +12,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -25,9 +26,25 @@ def session(master: str = "local[*]", app: str = "millrace", **settings: str) ->
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share for scratch: the cluster's spark.checkpoint.dir. Where that is unset, a
+    temporary one, but only if all runs in one process; a cluster without it raises RuntimeError."""
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that all executors see")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="millrace-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the cluster's spark.checkpoint.dir (a local folder only where that is unset)."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
+    """df, computed once and written to the shared folder: it outlives lost executors and has no lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes a folder that only Spark may be able to reach."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
