@@ -1,32 +1,16 @@
-"""What the operators share: scratch space that all executors see, and words."""
+"""What the operators share: partitions, words, and rows packed into one column."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A run of characters between ASCII white space: a word by size.
-SPACED = r"[^\x20\x09-\x0D]+"
-
-
-def shared_scratch(spark: SparkSession) -> None:
-    """Checkpoints go to the cluster's spark.checkpoint.dir; only where that is unset (tests), to a local folder."""
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
+from ..session import kept
 
+__all__ = ["SPACED", "kept", "n_spaced", "packed", "partitions", "text_or_empty", "unpacked"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of the checkpoints, which driver and executors share."""
-    shared_scratch(spark)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared checkpoint folder: it outlives lost executors and has no lineage."""
-    shared_scratch(df.sparkSession)
-    return df.checkpoint()
+#: A run of characters between ASCII white space: a word by size.
+SPACED = r"[^\x20\x09-\x0D]+"
 
 
 def partitions(spark: SparkSession) -> int:

@@ -13,32 +13,15 @@ differ in more than two are pruned as a group; for the others the differences ac
 What a task finds is given out as a forest (each member to the least fingerprint it is linked with in that chunk), not as
 all pairs. Copies meet before the index: it holds distinct fingerprints only.
 
-`drop_near_copies` is for similarity (Jaccard index of five-word shingles of 0.8 or more), where fingerprints differ in
-about ten bits and no 48-bit pattern is shared. A text has two independent fingerprints there, of its distinct shingles.
-Upper nodes are the patterns of `WIDTH` = 14 bits under `WIDE_MASKS` = 40 fixed masks of either one. Members of a node lie
-in Gray order and are pruned where both fingerprints together differ in more than `FAR` = 30 bits, which unrelated texts
-that share a pattern stay under once in a million times. What is left is pruned by the texts' numbers of shingles, which a
-similarity of 0.8 bounds, and by a sketch of 128 bytes, where its estimate is four standard errors too low; the rest is
-verified on the texts. A node of more than `SMALL` members is covered by leaders, each compared with all members, so near
-copies give pairs in proportion to their number. A leader stands only for the texts that are verified to be its copies: all
-texts that met another are looked up once more, each with the component that the verified pairs give, and any two in a node
-of different components are compared, in blocks of `BLOCK` rows. Among leaders, a member that has a nearer leader already is paired with a further one only
-where they differ in `CLOSE` = 20 bits or fewer, about what a similarity of 0.8 makes; the other pairs wait until the nearer
-one is verified and follow if the components then differ. In a node of `LARGE` members or more the first leader is the one nearest to
-their majority, which in a large group of copies is about the same in all nodes. A task holds `CHUNK` rows, and of a
-larger node the leaders found so far. Of pairs that differ in 8 bits of a fingerprint, 99 % share a node of it;
-in 10 bits, 94 %; in 12 bits, 78 %; the second one makes up for an unlucky first. A wider corpus takes a larger WIDTH and
-more masks: a node holds a 16,384th of unrelated texts.
+What Gray order does here is to bring the members of a lower node together, in an order in which neighbours differ in one bit;
+the pruning itself is by the accumulated differences. `nearcopies` is for similarity of the texts instead.
 
 Nulls and edges: a null or empty text has fingerprint zero and links like any other. A component's id is its least
-doc_id, null if all are null. Rows of the same doc_id each get a row in `near_duplicates`; `drop_near_copies` keeps one
-row of each group, the one with the least doc_id (null last, then by a hash of its text). Empty tables give no rows. Extra
-columns are not read, and pass through `drop_near_copies` whatever their names.
+doc_id, null if all are null. Rows of the same doc_id each get a row. Empty tables give no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -49,26 +32,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, packed, partitions, unpacked
-from .components import components
+from .common import kept, partitions
+from .components import components, forest
 
 BITS = 2
 SHINGLE = 3
 MASKS = list(combinations(range(8), 2))
 #: Rows after which a task closes a chunk, at the next node's start.
 CHUNK = 200_000
-#: Rows of a node that are held against each other at once, where leaders don't settle it.
-BLOCK = 8192
 #: Pairs expanded at once.
 PAIRS = 2_000_000
-#: Of drop_near_copies: words of a shingle, least similarity, bits of a masked pattern, masks, most bits of two fingerprints that may differ.
-SIMILAR_SHINGLE, SIMILARITY, WIDTH, WIDE_MASKS, FAR = 5, 0.8, 14, 40, 30
-#: Members of a node up to which all its pairs are compared.
-SMALL = 8
-#: Members of a node from which on its first leader is sought by majority.
-LARGE = 32
-#: Bits of two fingerprints up to which a member is paired with a leader whatever nearer ones it has.
-CLOSE = 20
 ONES = np.array([bin(i).count("1") for i in range(256)], np.int64)
 
 
@@ -167,23 +140,6 @@ def linked(node: np.ndarray, fp: np.ndarray, bits: int = BITS) -> tuple[np.ndarr
     return np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For linked values a, b: (each value, the least of its component), by label propagation with pointer jumping."""
-    values, at = np.unique(np.concatenate((a, b)), return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
-    root = np.arange(len(values))
-    while True:
-        least = np.minimum(root[x], root[y])
-        new = root.copy()
-        for e in (root[x], root[y], x, y):
-            np.minimum.at(new, e, least)
-        while (jumped := new[new] != new).any():
-            new[jumped] = new[new][jumped]
-        if (new == root).all():
-            return values, values[root]
-        root = new
-
-
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of the nodes in a task's rows, which lie by node and Gray rank; chunks end between nodes."""
 
@@ -227,348 +183,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(ids, "fp").select("doc_id", "th", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingles(text: str | None, shingle: int = SIMILAR_SHINGLE) -> set[bytes]:
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return set(map(b" ".join, zip(*(words[i:] for i in range(shingle))))) if len(words) > shingle else {b" ".join(words)}
-
-
-def gray_rank_64(x: np.ndarray) -> np.ndarray:
-    for s in (1, 2, 4, 8, 16, 32):
-        x = x ^ (x >> np.uint64(s))
-    return x
-
-
-#: Bytes of a sketch.
-SKETCH = 128
-
-
-def sketch(h: np.ndarray) -> bytes:
-    """A byte of the least hash in each of SKETCH ranges of hashes; 0 for an empty range. h: distinct and sorted."""
-    at, first = np.unique(h >> np.uint64(57), return_index=True)
-    out = np.zeros(SKETCH, np.uint8)
-    out[at.astype(np.int64)] = 1 + h[first] % np.uint64(255)
-    return out.tobytes()
-
-
-def hopeless(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
-    """Of two arrays of sketches by rows: whether the estimated similarity is four standard errors too low."""
-    seen = np.maximum(1, ((a > 0) | (b > 0)).sum(axis=1))
-    same = ((a == b) & (a > 0)).sum(axis=1) / seen
-    return same + 4 * np.sqrt(similarity * (1 - similarity) / seen) < similarity
-
-
-def described(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, th, fp, fp2, n, sketch) for each row of docs (doc_id, text): of its distinct shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps, seconds, ns, sketches = [], [], [], []
-            for t in b.column(2):
-                h = np.unique(shingle_hashes(t.as_py(), shingle))  # as a set, as the similarity is of sets
-                fps.append(majority(h))
-                seconds.append(majority((h ^ h >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)))
-                ns.append(len(h))
-                sketches.append(sketch(h))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64()), pa.array(seconds, pa.int64()), pa.array(ns, pa.int64()), pa.array(sketches, pa.binary())], ["doc_id", "th", "fp", "fp2", "n", "sketch"])
-
-    return slim(docs).mapInArrow(run, "doc_id long, th long, fp long, fp2 long, n long, sketch binary")
-
-
 def slim(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("th"), docs["text"].cast("string").alias("text"))
 
 
-def _pruner(similarity: float):
-    """(ta, tb) of rows (ta, tb, sa, sb) that aren't hopeless by their sketches."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH) for i in (2, 3))
-            good = pa.array(~hopeless(x, y, similarity))
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(good), b.column(1).filter(good)], ["ta", "tb"])
-
-    return run
-
-
-def wide_masks() -> np.ndarray:
-    """WIDE_MASKS rows of WIDTH bit numbers for each of the two fingerprints, always the same."""
-    r = np.random.RandomState(9)
-    return np.array([np.sort(r.permutation(64)[:WIDTH]) for _ in range(2 * WIDE_MASKS)])
-
-
-def _spread_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each pair of fingerprints under its 2 * WIDE_MASKS nodes: (node, Gray rank of the first as a signed number, second)."""
-    masks, one = wide_masks(), np.uint64(1)
-    for batch in batches:
-        for i in range(0, len(batch), 4096):
-            fps = [batch.column(k).slice(i, 4096).to_numpy().view(np.uint64) for k in (0, 1)]
-            rank, second = pa.array(gray_rank_64(fps[0]).view(np.int64)), batch.column(1).slice(i, 4096)
-            for m, bits in enumerate(masks):
-                node = np.full(len(fps[0]), m, np.int64)
-                for b in bits:
-                    node = node << 1 | ((fps[m // WIDE_MASKS] >> np.uint64(b)) & one).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(node), rank, second], ["node", "rank", "second"])
-
-
-def central(fp: np.ndarray, second: np.ndarray) -> int:
-    """The row nearest to the majority of the rows' bits."""
-    both = np.stack((fp, second), axis=1)
-    bits = np.unpackbits(both.view(np.uint8), axis=1)
-    middle = np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(fp)).view(np.uint64)
-    return int(np.bitwise_count(both ^ middle).sum(axis=1).argmin())
-
-
-def near_in_nodes(node: np.ndarray, fp: np.ndarray, second: np.ndarray, far: int = FAR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row numbers of pairs within a node that differ in `far` bits or fewer, all of small nodes, else leaders with members; and
-    the row numbers of the leaders.
-
-    Rows lie by node. In a large node the most central row leads first, then the first row that no leader is near, and so on;
-    each leader is compared with the whole node, and paired with the rows that have no nearer leader yet or are close; where
-    a near row is passed over, the leader is paired with itself, so that both are among the texts looked up once more.
-    """
-    differ = lambda i, j: np.bitwise_count(fp[i] ^ fp[j]) + np.bitwise_count(second[i] ^ second[j])
-    start = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
-    size = np.diff(np.append(start, len(node)))
-    of = np.repeat(np.arange(len(start)), size)
-    a, b, led = ([np.zeros(0, np.int64)] for _ in range(3))
-    small = np.flatnonzero(size[of] <= SMALL)
-    for d in range(1, SMALL):
-        at = small[small + d < len(node)]
-        at = at[node[at] == node[at + d]]
-        near = at[differ(at, at + d) <= far]
-        a.append(near)
-        b.append(near + d)
-    rows, free = np.flatnonzero(size[of] > SMALL), size[of] > SMALL
-    leader, nearest = np.zeros(len(start), np.int64) - 1, np.full(len(node), 255, np.uint8)
-    for k in np.flatnonzero(size >= LARGE):
-        own = slice(start[k], start[k] + size[k])
-        leader[k] = start[k] + central(fp[own], second[own])
-    while len(rows):
-        live = rows[free[rows]]
-        own = of[live]
-        first = np.concatenate(([True], own[1:] != own[:-1])) if len(own) else np.zeros(0, bool)
-        leader[own[first]] = np.where(leader[own[first]] >= 0, leader[own[first]], live[first])
-        rows = rows[leader[of[rows]] >= 0]
-        top = leader[of[rows]]
-        led.append(np.unique(top))
-        d = differ(rows, top)
-        near = d <= far
-        free[rows[near]] = False
-        other = near & (rows != top) & ((d <= nearest[rows]) | (d <= CLOSE))
-        passed = np.unique(top[near & (rows != top) & ~other])
-        nearest[rows] = np.minimum(nearest[rows], d)
-        a += [top[other], passed]
-        b += [rows[other], passed]
-        leader[:] = -1
-    return np.concatenate(a), np.concatenate(b), np.concatenate(led)
-
-
-def _search_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, a2, b, b2): distinct near pairs of a chunk's nodes; chunks end between nodes."""
-
-    def pairs(node: np.ndarray, rank: np.ndarray, second: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
-        ranks = rank.view(np.uint64)
-        fp = ranks ^ (ranks >> np.uint64(1))
-        i, j, led = near_in_nodes(node, fp, second.view(np.uint64))
-        x, y = np.stack((fp[i].view(np.int64), second[i]), axis=1), np.stack((fp[j].view(np.int64), second[j]), axis=1)
-        swap = (x[:, 0] > y[:, 0]) | ((x[:, 0] == y[:, 0]) & (x[:, 1] > y[:, 1]))
-        both = np.where(swap[:, None], np.hstack((y, x)), np.hstack((x, y)))
-        both = np.unique(both, axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, k])) for k in range(4)], ["a", "a2", "b", "b2"]), led
-
-    def alone(columns: list[np.ndarray], which: np.ndarray) -> pa.RecordBatch:
-        ranks = columns[1][which].view(np.uint64)
-        fp, second = pa.array((ranks ^ (ranks >> np.uint64(1))).view(np.int64)), pa.array(columns[2][which])
-        return pa.RecordBatch.from_arrays([fp, second, fp, second], ["a", "a2", "b", "b2"])
-
-    held, n, broken = [], 0, None
-    for batch in batches:
-        held.append([batch.column(k).to_numpy() for k in range(3)])
-        n += len(batch)
-        if n >= CHUNK:
-            columns = [np.concatenate(c) for c in zip(*held)]
-            node = columns[0]
-            cut = len(node) - int(np.argmax(node[::-1] != node[-1])) if node[0] != node[-1] else 0
-            out, led = pairs(*(c[:cut] for c in columns)) if cut else pairs(*columns)
-            yield out
-            if not cut or node[0] == broken:  # later rows of the node don't meet these: all are told, each paired with itself
-                broken = node[0]
-                yield alone(columns, node == broken)
-            # of a node that fills a chunk the leaders go on
-            held = [[c[cut:] for c in columns]] if cut else [[c[np.sort(led)] for c in columns]]
-            n = len(held[0][0])
-            if not cut and n >= CHUNK // 2:  # all of them far from each other: wait for as many rows again
-                n = 0
-    if held and len(held[0][0]):
-        columns = [np.concatenate(c) for c in zip(*held)]
-        yield pairs(*columns)[0]
-        if columns[0][0] == broken:
-            yield alone(columns, columns[0] == broken)
-
-
-def _spread_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts (label, fp, fp2, th, n) under their 2 * WIDE_MASKS nodes: (node, label, fp, fp2, th, n)."""
-    masks, one = wide_masks(), np.uint64(1)
-    for batch in batches:
-        for i in range(0, len(batch), 4096):
-            part = batch.slice(i, 4096)
-            fps = [part.column(k).to_numpy().view(np.uint64) for k in (1, 2)]
-            for m, bits in enumerate(masks):
-                node = np.full(len(part), m, np.int64)
-                for b in bits:
-                    node = node << 1 | ((fps[m // WIDE_MASKS] >> np.uint64(b)) & one).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(node), *part.columns], ["node", "label", "fp", "fp2", "th", "n"])
-
-
-def across(x: np.ndarray, y: np.ndarray, similarity: float, far: int = FAR) -> Iterator[np.ndarray]:
-    """(th, th) of all pairs of a row of x with a row of y, of the same node but of two labels, that differ in `far` bits or
-    fewer and are of similar size. Columns: node, label, fp, fp2, th, n; rows of y lie by node. No more than PAIRS at once."""
-    first, end = np.searchsorted(y[0], x[0], side="left"), np.searchsorted(y[0], x[0], side="right")
-    reps = end - first
-    ends = np.cumsum(reps)
-    i = 0
-    while i < len(reps):
-        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIRS, side="right")))
-        r = reps[i:j]
-        a = np.repeat(np.arange(i, j), r)
-        b = np.arange(len(a)) - np.repeat(np.cumsum(r) - r, r) + np.repeat(first[i:j], r)
-        good = x[1][a] != y[1][b]
-        a, b = a[good], b[good]
-        # as unsigned numbers: of a negative one its absolute value is counted
-        good = sum(np.bitwise_count((x[k][a] ^ y[k][b]).view(np.uint64)) for k in (2, 3)) <= far
-        a, b = a[good], b[good]
-        good = np.minimum(x[5][a], y[5][b]) >= similarity * np.maximum(x[5][a], y[5][b])
-        a, b = x[4][a[good]], y[4][b[good]]
-        if len(a):
-            yield np.stack((np.minimum(a, b), np.maximum(a, b)))
-        i = j
-
-
-def _search_open(similarity: float):
-    """(ta, tb): all pairs in a node of texts of two labels that are near and of similar size. Rows lie by node and label. A
-    node's rows of earlier blocks wait in a file, so a task holds two blocks whatever the node's size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def told(found: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            for p in found:
-                p = np.unique(p, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in p], ["ta", "tb"])
-
-        def own(x: np.ndarray) -> Iterator[np.ndarray]:
-            """Within a block: of the nodes that hold two labels."""
-            start, end = np.searchsorted(x[0], x[0], side="left"), np.searchsorted(x[0], x[0], side="right")
-            x = x[:, x[1][start] != x[1][end - 1]]
-            return across(x, x, similarity)
-
-        with tempfile.TemporaryFile() as file:
-            waiting, open_node = [], None
-            for batch in batches:
-                for i in range(0, len(batch), BLOCK):
-                    x = np.stack([batch.column(k).slice(i, BLOCK).to_numpy() for k in range(6)])
-                    yield from told(own(x))
-                    if open_node is not None and x[0, 0] == open_node:
-                        head = x[:, x[0] == open_node]
-                        for at, rows, low, high in waiting:
-                            if low == high == head[1, 0] == head[1, -1]:
-                                continue
-                            file.seek(at)
-                            yield from told(across(head, np.frombuffer(file.read(rows * 48), np.int64).reshape(6, rows), similarity))
-                    if x[0, -1] != open_node:
-                        open_node, waiting = x[0, -1], []
-                        file.seek(0)
-                        file.truncate()
-                    tail = np.ascontiguousarray(x[:, x[0] == open_node])
-                    at = file.seek(0, 2)
-                    file.write(tail.tobytes())
-                    waiting.append((at, tail.shape[1], tail[1, 0], tail[1, -1]))
-
-    return run
-
-
-def _verifier(similarity: float, shingle: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, left = None, set()
-        for b in batches:
-            good = []
-            for x, t, u in zip(b.column(0).to_pylist(), b.column(2), b.column(3)):
-                if x != last:
-                    last, left = x, shingles(t.as_py(), shingle)
-                right = shingles(u.as_py(), shingle)
-                both = len(left & right)
-                good.append(both >= similarity * (len(left) + len(right) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good)), b.column(1).filter(pa.array(good))], ["a", "b"])
-
-    return run
-
-
-#: In keys, a null doc_id; rows of a text that has this doc_id are rows of the same text.
-NULL_ID = -(2**63)
-
-
-def sized(pairs: DataFrame, similarity: float) -> DataFrame:
-    return pairs.where(F.least("na", "nb") >= similarity * F.greatest("na", "nb")).select("ta", "tb", "sa", "sb")
-
-
-def candidates(texts: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(ta, tb, sa, sb): text hashes and sketches of pairs that are near by their fingerprints and of similar size, of members
-    of large nodes with leaders only; and (fp, fp2) of all texts among which further pairs may be."""
-    p = partitions(texts.sparkSession)
-    # of the texts with the same fingerprints, one stands for all in the index; the others are held against it
-    stands = kept(texts.groupBy("fp", "fp2").agg(F.min(F.struct("th", "n", "sketch")).alias("s"), F.count("*").alias("texts")))
-    nodes = stands.select("fp", "fp2").mapInArrow(_spread_wide, "node long, rank long, second long")
-    near = kept(nodes.repartition(p, "node").sortWithinPartitions("node", "rank").mapInArrow(_search_wide, "a long, a2 long, b long, b2 long").distinct())
-    own = lambda k: stands.select(F.col("fp").alias(k), F.col("fp2").alias(f"{k}2"), F.col("s.th").alias(f"t{k}"), F.col("s.n").alias(f"n{k}"), F.col("s.sketch").alias(f"s{k}"))
-    pairs = near.where("a <> b or a2 <> b2").join(own("a"), ["a", "a2"]).join(own("b"), ["b", "b2"]).select("ta", "tb", "sa", "sb", "na", "nb")
-    same = texts.select("fp", "fp2", F.col("th").alias("tb"), F.col("sketch").alias("sb"), F.col("n").alias("nb")).join(stands.where("texts > 1").select("fp", "fp2", "s"), ["fp", "fp2"]).where("tb <> s.th").select(F.col("s.th").alias("ta"), "tb", F.col("s.sketch").alias("sa"), "sb", F.col("s.n").alias("na"), "nb")
-    met = near.select(F.col("a").alias("fp"), F.col("a2").alias("fp2")).union(near.select("b", "b2")).union(stands.where("texts > 1").select("fp", "fp2")).distinct()
-    return sized(pairs.union(same), similarity), met
-
-
-def open_pairs(texts: DataFrame, met: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
-    """(ta, tb, sa, sb): near pairs of met texts that the links found so far don't join. A text that a leader is near to was not
-    held against the others that one is near to, so all of different components are here, whatever the size of a node."""
-    roots = components(links).select(F.col("node").alias("th"), "root")
-    rows = texts.join(met, ["fp", "fp2"]).join(roots, "th", "left").select(F.coalesce("root", "th").alias("label"), "fp", "fp2", "th", "n")
-    nodes = rows.mapInArrow(_spread_open, "node long, label long, fp long, fp2 long, th long, n long")
-    p = partitions(texts.sparkSession)
-    pairs = nodes.repartition(p, "node").sortWithinPartitions("node", "label").mapInArrow(_search_open(similarity), "ta long, tb long").distinct()
-    own = lambda k: texts.select(F.col("th").alias(f"t{k}"), F.col("sketch").alias(f"s{k}"))
-    return pairs.join(own("a"), "ta").join(own("b"), "tb").select("ta", "tb", "sa", "sb")
-
-
-def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """(a, b): the pairs (ta, tb, sa, sb) that are similar, first by their sketches, then by their texts."""
-    pairs = kept(pairs.mapInArrow(_pruner(similarity), "ta long, tb long"))
-    wanted = pairs.select(F.explode(F.array("ta", "tb")).alias("th")).distinct().join(texts, "th").select("th", "key")
-    d = docs.select("th", F.coalesce("doc_id", F.lit(NULL_ID)).alias("key"), "text").join(wanted, ["th", "key"])
-    full = kept(d.groupBy("th", "key").agg(F.first("text").alias("text")))
-    both = pairs.join(full.select(F.col("th").alias("ta"), F.col("text").alias("x")), "ta").join(full.select(F.col("th").alias("tb"), F.col("text").alias("y")), "tb")
-    return kept(both.select("ta", "tb", "x", "y").mapInArrow(_verifier(similarity, shingle), "a long, b long"))
-
-
-def similar_texts(texts: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
-    """(a, b): verified links between text hashes. texts: (th, fp, fp2, n, sketch, key), one row a text; docs: (doc_id, th, text)."""
-    pairs, met = candidates(texts, similarity)
-    led = verified(pairs, texts, docs, similarity, shingle)
-    return led.union(verified(open_pairs(texts, met, led, similarity), texts, docs, similarity, shingle))
-
-
-def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
-    """docs with one row of each group of near copies, all columns kept."""
-    rows = kept(described(docs, shingle))
-    texts = rows.groupBy("th").agg(F.min("doc_id").alias("least"), F.min(F.struct("fp", "fp2", "n", "sketch")).alias("s"))
-    texts = kept(texts.select("th", "least", F.coalesce("least", F.lit(NULL_ID)).alias("key"), "s.*"))
-    roots = components(similar_texts(texts, slim(docs), similarity, shingle))
-    t = texts.select("th", "least", "key").alias("t").join(roots.alias("r"), F.col("t.th") == F.col("r.node"), "left").select("t.th", "t.least", "t.key", F.coalesce("r.root", "t.th").alias("root"))
-    one = t.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("null"), "least", "th", "key")).alias("x")).select("x.th", "x.key")
-    # of rows equal in doc_id and text one stays; they are told by their number, so that no other text moves for it
-    many = rows.groupBy("th", F.coalesce("doc_id", F.lit(NULL_ID)).alias("key")).agg(F.count("*").alias("rows"))
-    one = kept(one.join(many, ["th", "key"]))
-    d = packed(docs).withColumn("key", F.coalesce(F.col("d.doc_id").cast("long"), F.lit(NULL_ID))).withColumn("th", F.xxhash64("d.text"))
-    d = d.join(one.hint("shuffle_hash"), ["th", "key"])
-    again = d.where("rows > 1").groupBy("th", "key").agg(F.first("d").alias("d"))
-    return d.where("rows = 1").select("d").union(again.select("d")).select(*unpacked(docs.columns))
-
-
 def query(spark, sf_dir):
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "fingerprint", "component_id")

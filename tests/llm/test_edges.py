@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import licenses, linededup, mixing, packing, pseudonyms, secrets, simhash, toxicity, winnowing
+from millrace.llm import licenses, linededup, mixing, nearcopies, packing, pseudonyms, secrets, simhash, toxicity, winnowing
 
 LINKS = [toxicity.Link("low_quality", {"word1": 1.0}, [], -1.0, 0.5), toxicity.Link("toxic", {"hunter": 9.0}, [0.1], -3.0, 0.5)]
 PER_ROW = {
@@ -38,12 +38,12 @@ def test_empty_table(odd, name):
 
 def test_empty_tables_of_the_rest(odd):
     empty = odd.limit(0)
-    assert packing.pack_documents(empty).collect() == simhash.drop_near_copies(empty).collect() == []
+    assert packing.pack_documents(empty).collect() == nearcopies.drop_near_copies(empty).collect() == []
     assert mixing.copies(empty, mixing.mix(empty)).collect() == []
 
 
 def test_all_columns_pass(odd):
-    for out in (linededup.dedup(odd.drop("n_removed")).drop("n_removed"), simhash.drop_near_copies(odd.drop("n_removed")), mixing.copies(odd, mixing.mix(odd)).drop("n_removed"), toxicity.reject(odd, LINKS).drop("n_removed")):
+    for out in (linededup.dedup(odd.drop("n_removed")).drop("n_removed"), nearcopies.drop_near_copies(odd.drop("n_removed")), mixing.copies(odd, mixing.mix(odd)).drop("n_removed"), toxicity.reject(odd, LINKS).drop("n_removed")):
         assert out.columns == odd.drop("n_removed").columns and out.collect()
         assert {tuple(r) for r in out.select("d", F.lit("t"), "key", "w").collect()} == {("d", "t", None, "w")}
 
@@ -63,7 +63,7 @@ def test_null_and_empty_texts(odd, rows):
 
 
 def test_near_copies_keep_one_of_repeated_rows(odd):
-    kept = Counter((r["doc_id"], r["text"]) for r in simhash.drop_near_copies(odd).select("doc_id", "text").collect())
+    kept = Counter((r["doc_id"], r["text"]) for r in nearcopies.drop_near_copies(odd).select("doc_id", "text").collect())
     assert max(kept.values()) == 1
     assert [i for i, t in kept if t == "a b c d e f g h"] == [1]
     assert [i for i, t in kept if not (t or "").strip()] == [2]  # texts without words are alike

@@ -6,10 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import mixing, packing, simhash, toxicity
+from millrace.llm import mixing, packing, toxicity
 
 from .test_linededup import by_hand as dedup_by_hand
-from .test_simhash import classes
+from .test_nearcopies import groups
 
 
 @pytest.fixture(scope="module")
@@ -45,8 +45,7 @@ def test_line_dedup(stages):
 def test_near_dedup(stages):
     before, after = stages[2]
     rows = sorted((r["doc_id"], r["text"]) for r in before.collect())
-    s = [simhash.shingles(t) for _, t in rows]
-    root = classes(len(s), [(a, b) for a in range(len(s)) for b in range(a) if len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b])])
+    root = groups([t for _, t in rows])
     assert sorted(r["doc_id"] for r in after.collect()) == [rows[i][0] for i in sorted(set(root))]
 
 
@@ -68,3 +67,15 @@ def test_packing_and_run(spark, sf_dir, stages):
         assert out.agg(F.sum("length")).head()[0] == want
     key = lambda df: Counter((r["doc_id"], r["doc_tokens"]) for r in df.where("start = 0").collect())
     assert key(after) == key(whole)
+
+
+def test_runs_do_not_disturb_each_other(spark, sf_dir):
+    one = corpus_pipeline.run(spark, sf_dir)
+    two = corpus_pipeline.run(spark, sf_dir)
+    assert two.count() == one.count() > 0
+
+
+def test_empty_table(spark, sf_dir, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

@@ -77,121 +77,9 @@ def test_index_on_planted_fingerprints():
     assert got == want
 
 
-def test_near_copies_against_all_pairs(spark, corpus):
-    df = spark.createDataFrame(list(enumerate(corpus)), "doc_id long, text string")
-    kept = {r[0] for r in simhash.drop_near_copies(df).select("doc_id").collect()}
-    s = [simhash.shingles(t) for t in corpus]
-    root = classes(len(s), [(a, b) for a in range(len(s)) for b in range(a) if len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b])])
-    assert kept == set(root)
-
-
-def test_sketches_never_lose_a_similar_pair():
-    r = np.random.RandomState(2)
-    for n in (1, 3, 20, 500):
-        for _ in range(200):
-            common, rest = r.randint(0, 2**63, n).astype(np.uint64), r.randint(0, 2**63, max(1, n // 5)).astype(np.uint64)
-            k = len(rest) * (n >= 5) // 2
-            a, b = np.concatenate((common, rest[:k])), np.concatenate((common, rest[k : 2 * k]))
-            x, y = (np.frombuffer(simhash.sketch(np.unique(h)), np.uint8)[None] for h in (a, b))
-            assert not simhash.hopeless(x, y, 0.8)[0]
-
-
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)] + [(None, 1), (7, 7)]
     got = {x["node"]: x["root"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     root = classes(400, [(a, b) for a, b in edges if a is not None])
     assert got == {n: root[n] for a, b in edges if a is not None and a != b for n in (a, b)}
-
-
-def near_rows(seed, base, copies, flips):
-    r = np.random.RandomState(seed)
-    x = np.repeat(r.randint(0, 2**63, (base, 2)).astype(np.uint64), copies, axis=0)
-    for row in x:
-        for k in (0, 1):
-            for bit in r.choice(64, r.randint(0, flips + 1), replace=False):
-                row[k] ^= np.uint64(1) << np.uint64(bit)
-    return x[r.permutation(len(x))]
-
-
-def test_leaders_connect_large_groups_with_few_pairs():
-    x = near_rows(3, 4, 300, 5)
-    a, b, led = simhash.near_in_nodes(np.zeros(len(x), np.int64), x[:, 0].copy(), x[:, 1].copy())
-    assert len(set(classes(len(x), list(zip(a.tolist(), b.tolist()))))) == 4
-    assert len(a) < 3 * len(x) and len(led) < 20
-    assert (np.bitwise_count(x[a] ^ x[b]).sum(axis=1) <= simhash.FAR).all()
-
-
-def test_small_nodes_give_all_pairs():
-    x = near_rows(4, 30, 5, 3)
-    node = np.sort(np.random.RandomState(5).randint(0, 40, len(x)))
-    sizes = np.bincount(node)
-    keep = sizes[node] <= simhash.SMALL
-    node, x = node[keep], x[keep]
-    a, b, _ = simhash.near_in_nodes(node, x[:, 0].copy(), x[:, 1].copy())
-    want = {(j, i) for i in range(len(x)) for j in range(i) if node[i] == node[j] and np.bitwise_count(x[i] ^ x[j]).sum() <= simhash.FAR}
-    assert set(zip(a.tolist(), b.tolist())) == want
-
-
-def test_a_node_larger_than_a_chunk(monkeypatch):
-    import pyarrow as pa
-
-    monkeypatch.setattr(simhash, "CHUNK", 100)
-    x = near_rows(6, 3, 400, 4)
-    rank = simhash.gray_rank_64(x[:, 0].copy())
-    order = np.argsort(rank)
-    node = np.concatenate((np.zeros(900, np.int64), np.ones(300, np.int64)))
-    columns = [node, rank[order].view(np.int64), x[order, 1].copy().view(np.int64)]
-    batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + 37]) for c in columns], ["node", "rank", "second"]) for i in range(0, 1200, 37)]
-    known = {tuple(map(int, r)): i for i, r in enumerate(x.view(np.int64))}
-    pairs = [(known[p["a"], p["a2"]], known[p["b"], p["b2"]]) for out in simhash._search_wide(iter(batches)) for p in out.to_pylist()]
-    root = classes(len(x), pairs)
-    first = [known[tuple(map(int, r))] for r in x[order][:900].view(np.int64)]
-    assert len({root[i] for i in first}) == 3
-
-
-def family(r, members, copied, words=200, own=35):
-    """Texts of Jaccard about 0.7 to each other, of which some have a near copy."""
-    core = [f"c{i}" for i in range(words - own)]
-    texts = [core + [f"t{r.randrange(10**9)}" for _ in range(own)] for _ in range(members)]
-    return [" ".join(t) for t in texts] + [" ".join(t[:-18] + [f"u{k}x{i}" for i in range(18)]) for k, t in enumerate(texts[:copied])]
-
-
-def test_near_copies_inside_a_large_family(spark):
-    texts = family(random.Random(7), 300, 60)
-    s = [simhash.shingles(t) for t in texts]
-    similar = [(b, a) for a in range(len(s)) for b in range(a) if len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b])]
-    assert similar == [(k, 300 + k) for k in range(60)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    kept = {r[0] for r in simhash.drop_near_copies(df).select("doc_id").collect()}
-    assert kept == set(range(300))
-
-
-def test_open_pairs_do_not_depend_on_blocks(monkeypatch):
-    import pyarrow as pa
-
-    x = near_rows(8, 3, 100, 8).view(np.int64)
-    r = np.random.RandomState(9)
-    node, label = np.sort(r.randint(0, 4, 300)), r.randint(0, 5, 300)
-    label[node == 2] = 1
-    order = np.lexsort((label, node))
-    node, label, x, th, n = node[order], label[order], x[order], np.arange(300), r.randint(80, 120, 300)
-    columns = [node, label, np.ascontiguousarray(x[:, 0]), np.ascontiguousarray(x[:, 1]), th, n]
-    want = {(j, i) for i in range(300) for j in range(i) if node[i] == node[j] and label[i] != label[j] and np.bitwise_count((x[i] ^ x[j]).view(np.uint64)).sum() <= simhash.FAR and min(n[i], n[j]) >= 0.8 * max(n[i], n[j])}
-    for block, rows in ((8192, 300), (16, 37), (7, 100)):
-        monkeypatch.setattr(simhash, "BLOCK", block)
-        batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + rows]) for c in columns], ["node", "label", "fp", "fp2", "th", "n"]) for i in range(0, 300, rows)]
-        assert {(p["ta"], p["tb"]) for out in simhash._search_open(0.8)(iter(batches)) for p in out.to_pylist()} == want
-
-
-def test_a_leader_passed_over_for_a_nearer_one_is_looked_up_again():
-    r = np.random.RandomState(12)
-    bits = r.permutation(64)
-    flip = lambda row, at: row ^ np.array([sum(1 << int(b) for b in at), 0], np.uint64)
-    lead = r.randint(0, 2**63, 2).astype(np.uint64)
-    member = flip(lead, bits[:10])
-    further = flip(member, bits[10:35])
-    x = np.vstack([lead, member, further, *(r.randint(0, 2**63, 2).astype(np.uint64) for _ in range(8))])
-    a, b, led = simhash.near_in_nodes(np.zeros(len(x), np.int64), x[:, 0].copy(), x[:, 1].copy())
-    assert {0, 2} <= set(led.tolist()) and (0, 1) in zip(a, b) and (2, 1) not in zip(a, b)
-    assert {0, 1, 2} <= set(a.tolist()) | set(b.tolist())
