@@ -1,15 +1,21 @@
 """Exact top-k search by inner product, with multi-resolution segment statistics.
 
-A vector is cut into 4, 8, then 16 segments. With a segment's mean m and deviation s (its population standard deviation),
+A vector is cut into 4, 8, 16, then 32 segments. With a segment's mean m and deviation s (its population standard deviation),
 and segment length L, two vectors' squared distance is at least the sum of L((m - m')^2 + (s - s')^2). Since the inner
 product is (|q|^2 + |c|^2 - distance^2) / 2, that bounds it from above; in this form the norms cancel, and the bound is the
 inner product of the vectors sqrt(L) * (m, s). Coarse bounds come first; where a bound is below the k-th best score known,
-the pair is pruned; what is left gets the finer bound, and survivors the exact score. A bound never falls below the exact
-score but by rounding, for which a slack of 1e-9 of the norms is given.
+the pair is pruned; what is left gets the finer bound, pair by pair, and survivors the exact score.
 
-Queries are searched in rounds of bounded size (ROUND_MB in memory), each broadcast to the tasks that scan the candidates
-where they lie, once a round; no candidate is shuffled. The round's queries are rows of the table too, so their scores
-among each other give the first thresholds. Tasks keep k per query; the last step takes the best k over tasks.
+Segments are taken after a rotation, which changes no distance: the principal axes of up to `SAMPLE` vectors (those with
+the least hash). The first half of a level's segments are single axes, so bounds are exact where vectors differ most, and the
+axes that are left share the other half. Rotation costs rounding; a slack of 1e-9 of the norms covers it, and exact
+scores come from the vectors as they are.
+
+Vectors travel in blocks: candidates in as many groups as a shuffle has partitions, queries in groups of `GROUP_MB` in memory
+at most, and each pair of groups meets in one task, which holds its queries and streams its candidates. The plan is the
+same whatever the data's size, and nothing but the rotation goes through the driver. A task keeps k for each query; the last
+step takes the best k over tasks. The work is queries times candidates less what the bounds prune, which on vectors without
+structure is nearly nothing.
 
 Vectors that are null, or hold a null or non-finite component (or one whose product with the scale is), take no part.
 Vectors of unequal lengths are not compared. A candidate with the query's own vec_id is the query's own row. Rows repeated
@@ -29,11 +35,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import partitions
 
-SEGMENTS = (4, 8, 16)
-#: Memory of one round's query vectors.
-ROUND_MB = 32
+SEGMENTS = (4, 8, 16, 32)
+#: Memory of a group of queries with their statistics; vectors that the rotation is fitted on.
+GROUP_MB, SAMPLE = 32, 4096
 QUERIES_AT_ONCE = 32
 CANDIDATES_AT_ONCE = 4096
 NO_ID = np.iinfo(np.int64).max
@@ -58,58 +64,82 @@ def matrices(ids: pa.Array, vectors: pa.Array, scale: float) -> Iterator[tuple[n
         yield keys[rows[whole]], m[whole]
 
 
+def cuts(d: int, segments: int) -> np.ndarray:
+    """Starts of segments: single places first, then equal parts of the rest."""
+    if segments >= d:
+        return np.arange(d)
+    single = segments // 2
+    return np.concatenate((np.arange(single), single + np.arange(segments - single) * (d - single) // (segments - single)))
+
+
 def statistics(m: np.ndarray, segments: int) -> np.ndarray:
     """sqrt(L) * mean and sqrt(L) * deviation of each segment; the inner product of two such rows is the bound."""
     d = m.shape[1]
     if not d:
         return np.zeros((len(m), 1))
-    cuts = np.unique(np.arange(segments) * d // segments)
-    size = np.diff(np.append(cuts, d))
-    mean = np.add.reduceat(m, cuts, axis=1) / size
-    spread = np.add.reduceat((m - np.repeat(mean, size, axis=1)) ** 2, cuts, axis=1)
-    return np.hstack((mean * np.sqrt(size), np.sqrt(spread)))
+    at = cuts(d, segments)
+    size = np.diff(np.append(at, d))
+    with np.errstate(over="ignore", invalid="ignore"):
+        mean = np.add.reduceat(m, at, axis=1) / size
+        spread = np.add.reduceat((m - np.repeat(mean, size, axis=1)) ** 2, at, axis=1)
+    return np.hstack((mean * np.sqrt(size), np.sqrt(spread[:, size > 1])))
+
+
+def axes(m: np.ndarray) -> np.ndarray:
+    """The principal axes of the rows, widest first, as columns."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        centred = m - m.mean(axis=0)
+        spread = centred.T @ centred
+    return np.linalg.eigh(spread)[1][:, ::-1] if np.isfinite(spread).all() else np.eye(m.shape[1])
 
 
 class Search:
-    """The k best of all candidates seen, for a block of queries of one length."""
+    """The k best of all candidates seen, for queries of one length."""
 
-    def __init__(self, ids: np.ndarray, m: np.ndarray, k: int):
-        self.ids, self.m, self.k = ids, m, k
-        self.levels = [statistics(m, s) for s in SEGMENTS]
+    def __init__(self, ids: np.ndarray, keys: np.ndarray, m: np.ndarray, k: int, rotation: np.ndarray | None = None):
+        self.ids, self.keys, self.m, self.k, self.rotation = ids, keys, m, k, rotation
+        self.levels = self.bounds(m)
         self.norm = np.sqrt((m * m).sum(axis=1))
         self.best: list[list[tuple[int, int]]] = [[] for _ in ids]
         self.least = np.full(len(ids), -np.inf)
+        #: Pairs met, and pairs left after each level of bounds.
+        self.pairs, self.left = 0, [0] * len(SEGMENTS)
 
-    def seed(self) -> None:
-        """First thresholds, from the queries among each other; the candidates themselves come with their scan."""
-        for i in range(0, len(self.ids), CANDIDATES_AT_ONCE):
-            self.add(self.ids[i : i + CANDIDATES_AT_ONCE], self.m[i : i + CANDIDATES_AT_ONCE])
-        self.best = [[] for _ in self.ids]
+    def bounds(self, m: np.ndarray) -> list[np.ndarray]:
+        with np.errstate(over="ignore", invalid="ignore"):
+            turned = m if self.rotation is None or len(self.rotation) != m.shape[1] else m @ self.rotation
+        return [statistics(turned, s) for s in SEGMENTS]
 
     def add(self, ids: np.ndarray, m: np.ndarray) -> None:
         if not len(ids) or not len(self.ids):
             return
-        levels = [statistics(m, s) for s in SEGMENTS]
+        levels = self.bounds(m)
         norm = np.sqrt((m * m).sum(axis=1))
         exact = float(np.abs(m).max(initial=0)) * float(np.abs(self.m).max(initial=0)) * m.shape[1] < 2**53
         for i in range(0, len(self.ids), QUERIES_AT_ONCE):
             q = slice(i, i + QUERIES_AT_ONCE)
-            at = np.arange(len(ids))
-            alive = self.ids[q][:, None] != ids[None, :]
-            slack = 1e-9 * self.norm[q][:, None] * norm[None, :]
-            for mine, theirs in zip(self.levels, levels):
-                alive = alive[:, keep] if not (keep := alive.any(axis=0)).all() else alive
-                at = at[keep]
-                alive &= ~(mine[q] @ theirs[at].T + slack[:, at] < self.least[q][:, None])  # what overflows stays
-            keep = alive.any(axis=0)
-            at, alive = at[keep], alive[:, keep]
-            if not len(at):
+            other = self.ids[q][:, None] != ids[None, :]
+            self.pairs += int(other.sum())
+            a, b = None, None
+            for level, (mine, theirs) in enumerate(zip(self.levels, levels)):
+                # the first level for the block, the finer ones for the pairs that are left; what overflows stays
+                if a is None:
+                    keep = other & ~(mine[q] @ theirs.T + 1e-9 * self.norm[q][:, None] * norm[None, :] < self.least[q][:, None])
+                    a, b = np.nonzero(keep)
+                    a += i
+                else:
+                    bound = np.einsum("ij,ij->i", mine[a], theirs[b]) if len(a) < other.size // 4 else (mine[q] @ theirs.T)[a - i, b]
+                    keep = ~(bound + 1e-9 * self.norm[a] * norm[b] < self.least[a])
+                    a, b = a[keep], b[keep]
+                self.left[level] += len(a)
+            if not len(a):
                 continue
-            scores = self.m[q] @ m[at].T
-            alive &= ~(scores + slack[:, at] < self.least[q][:, None])
-            for j in np.flatnonzero(alive.any(axis=1)):
-                found = np.flatnonzero(alive[j])
-                self.merge(i + j, ids[at[found]], scores[j, found] if exact else None, m[at[found]])
+            scores = np.einsum("ij,ij->i", self.m[a], m[b]) if len(a) < other.size // 4 else (self.m[q] @ m.T)[a - i, b]
+            keep = ~(scores + 1e-9 * self.norm[a] * norm[b] < self.least[a])
+            a, b, scores = a[keep], b[keep], scores[keep]
+            start = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))) if len(a) else a
+            for s, e in zip(start.tolist(), [*start[1:].tolist(), len(a)]):
+                self.merge(int(a[s]), ids[b[s:e]], scores[s:e] if exact else None, m[b[s:e]])
 
     def merge(self, j: int, ids: np.ndarray, scores: np.ndarray | None, m: np.ndarray) -> None:
         if scores is None:  # beyond what doubles hold exactly
@@ -125,47 +155,78 @@ class Search:
             self.least[j] = max(self.least[j], float(-self.best[j][-1][0]))
 
 
+BLOCKS = "d int, ids binary, keys binary, m binary"
+OUT = "query_id long, key long, vec_id long, score long, high decimal(38,0)"
+
+
+def _blocks(scale: float):
+    """Rows (vec_id, v, key) as blocks: the vectors of one length that take part, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), CANDIDATES_AT_ONCE):
+                part = batch.slice(i, CANDIDATES_AT_ONCE)
+                keys, out = part.column(2).to_numpy(), []
+                # places stand for ids here, so that each vector finds its id and key again
+                ids = np.array([NO_ID if x is None else x for x in part.column(0).to_pylist()], np.int64)
+                for place, m in matrices(pa.array(np.arange(len(part))), _flat(part.column(1)), scale):
+                    out.append((m.shape[1], ids[place].tobytes(), keys[place].tobytes(), m.tobytes()))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["d", "ids", "keys", "m"])
+
+    return run
+
+
 def top_k(vectors: DataFrame, is_query: Column, id_column: str = "vec_id", vector_column: str = "embedding", k: int = 10, scale: float = 1024.0) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest inner products, ties to the smaller vec_id."""
     spark = vectors.sparkSession
-    rows = vectors.select(vectors[id_column].cast("long").alias("vec_id"), vectors[vector_column].cast("array<double>").alias("v"))
-    queries = kept(rows.where(is_query & F.col("vec_id").isNotNull() & F.col("v").isNotNull()).dropDuplicates(["vec_id", "v"]).withColumn("key", F.xxhash64("vec_id", "v")))
-    size = queries.agg(F.sum(F.size("v") * 8 + 64)).collect()[0][0] or 0
-    rounds = max(1, math.ceil(2 * size / (ROUND_MB * 1_000_000)))
-    parts = []
-    for r in range(rounds):
-        # half of ROUND_MB on average, by a hash of distinct rows
-        own = queries.where(F.pmod("key", F.lit(rounds)) == r).orderBy("key").toArrow().combine_chunks()
-        parts.append(rows.mapInArrow(_scan(spark.sparkContext.broadcast(own), k, scale), "query_id long, key long, vec_id long, score long, high decimal(38,0)"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
+    rows = vectors.select(vectors[id_column].cast("long").alias("vec_id"), vectors[vector_column].cast("array<double>").alias("v")).withColumn("key", F.xxhash64("vec_id", "v"))
+    asked = rows.where(is_query & F.col("vec_id").isNotNull() & F.col("v").isNotNull())
+    size = asked.agg(F.sum(F.size("v"))).collect()[0][0] or 0
+    # a vector takes its own 8 bytes a component, and about twice as many for all levels
+    n, groups = partitions(spark), max(1, math.ceil(24 * size / (GROUP_MB * 1_000_000)))
+    queries = asked.dropDuplicates(["vec_id", "v"]).repartition(groups, "key").mapInArrow(_blocks(scale), BLOCKS)
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    # blocks of queries go to all groups of candidates, blocks of candidates to all groups of queries
+    queries = queries.withColumn("g", F.pmod(F.xxhash64("keys"), F.lit(groups)).cast("int")).withColumn("c", each(n)).withColumn("side", F.lit(0))
+    candidates = rows.where("v is not null").mapInArrow(_blocks(scale), BLOCKS)
+    candidates = candidates.withColumn("c", F.pmod(F.xxhash64("keys"), F.lit(n)).cast("int")).withColumn("g", each(groups)).withColumn("side", F.lit(1))
+    met = queries.unionByName(candidates).select("g", "c", "side", "d", "ids", "keys", "m").repartition(n, "g", "c").sortWithinPartitions("g", "c", "side")
+    found = met.mapInArrow(_search(_rotations(rows, scale), k), OUT)
     w = Window.partitionBy("query_id", "key").orderBy(F.desc("high"), F.asc_nulls_last("vec_id"))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _scan(queries, k: int, scale: float):
+def _rotations(rows: DataFrame, scale: float) -> dict[int, np.ndarray]:
+    """Principal axes by length of vectors, from SAMPLE vectors at most."""
+    sample = rows.where("v is not null").orderBy("key").limit(SAMPLE).select("vec_id", "v").toArrow().combine_chunks()
+    return {m.shape[1]: axes(m) for _, m in matrices(sample.column("vec_id").combine_chunks(), _flat(sample.column("v")), scale) if len(m) and m.shape[1]} if len(sample) else {}
+
+
+def _search(rotations: dict[int, np.ndarray], k: int):
+    def told(searches: dict[int, list[Search]]) -> Iterator[pa.RecordBatch]:
+        clip = 10**38 - 1
+        for s in (s for own in searches.values() for s in own):
+            out = [(int(q), int(key), None if x == NO_ID else x, max(-(2**63), min(2**63 - 1, -n)), max(-clip, min(clip, -n))) for q, key, best in zip(s.ids, s.keys, s.best) for n, x in best]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 4 + [pa.decimal128(38, 0)])], ["query_id", "key", "vec_id", "score", "high"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = queries.value
-        searches: dict[int, Search] = {}
-        if len(t):
-            # positions stand for ids here, so that each query finds its key again
-            for place, m in matrices(pa.array(np.arange(len(t))), _flat(t.column("v")), scale):
-                s = searches[m.shape[1]] = Search(t.column("vec_id").to_numpy()[place], m, k)
-                s.keys = t.column("key").to_numpy()[place]
-                s.seed()
+        at, searches = None, {}
         for b in batches:
-            for i in range(0, len(b), CANDIDATES_AT_ONCE):
-                part = b.slice(i, CANDIDATES_AT_ONCE)
-                for ids, m in matrices(part.column(0), _flat(part.column(1)), scale):
-                    if m.shape[1] in searches:
-                        searches[m.shape[1]].add(ids, m)
-        for s in searches.values():
-            out = [(int(q), int(key), None if x == NO_ID else x, max(-(2**63), min(2**63 - 1, -n)), -n) for q, key, best in zip(s.ids, s.keys, s.best) for n, x in best]
-            if out:
-                q, key, x, score, high = zip(*out)
-                clip = 10**38 - 1
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(key, pa.int64()), pa.array(x, pa.int64()), pa.array(score, pa.int64()), pa.array([max(-clip, min(clip, h)) for h in high], pa.decimal128(38, 0))], ["query_id", "key", "vec_id", "score", "high"])
+            for i in range(len(b)):
+                g, c, side, d = (b.column(j)[i].as_py() for j in range(4))
+                ids, keys, m = (np.frombuffer(b.column(j)[i].as_buffer(), kind) for j, kind in ((4, np.int64), (5, np.int64), (6, np.float64)))
+                if (g, c) != at:
+                    yield from told(searches)
+                    at, searches = (g, c), {}
+                m = m.reshape(len(ids), d)
+                if side == 0:
+                    searches.setdefault(d, []).append(Search(ids, keys, m, k, rotations.get(d)))
+                else:
+                    for s in searches.get(d, ()):
+                        s.add(ids, m)
+        yield from told(searches)
 
     return run
 
