@@ -1,11 +1,12 @@
 """License scans by a positional rare-token index, in DataFrame functions only.
 
-A template is a phrase or a longer header with a label and one mandatory key phrase. Its postings are (word, position).
-Of each key phrase the two words with the highest IDF over the whole corpus are its anchors. A file's anchor words are
-looked up with their positions, shifted by the posting's position, and intersected: what is left are the places where
-both anchors stand at the right distance. Only there the key phrase is verified word by word, and the template's other
-words are compared for the score. All of it happens inside a row, so no shuffle moves a text, and a hot phrase costs no
-more than its places.
+A template is a phrase or a longer header with a label and one mandatory key phrase. A key phrase's anchors are its two words
+with the highest IDF over the whole corpus: a file that can match holds the phrase whole, so these are also the file's own
+highest-IDF words of it. The index is one map from anchor words to postings (template, position). A file's anchor words are
+looked up in it, each hit telling a template and where it would start; hits of both anchors that agree in the start are
+what the intersection leaves. Only there the key phrase is verified word by word, and the template's other words are
+compared for the score. All of it happens inside a row, so no shuffle moves a text, a hot phrase costs no more than its
+places, and the plan doesn't grow with the templates.
 
 Nulls and edges: a null or empty text has no words, no labels and score 0. Repeated rows each get their own result row.
 Extra columns are not read. Words are those of the lower-cased text; A-Z alone changes which words are found, because
@@ -73,12 +74,11 @@ def words_of(text: Column) -> Column:
 
 
 def idf(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, text: str = "text") -> dict[str, float]:
-    """IDF over all documents of each key-phrase word; one row per such word comes to the driver, a size the templates set."""
+    """IDF over all documents of each key-phrase word, in one pass; one number per such word comes to the driver."""
     vocabulary = sorted({w for t in templates for w in t.key_words})
-    row = docs.select(words_of(docs[text]).alias("w")).select(F.array_intersect("w", F.array(*map(F.lit, vocabulary))).alias("w"))
-    counts = {r["word"]: r["n"] for r in row.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
-    total = docs.count()
-    return {w: math.log((total + 1) / (counts.get(w, 0) + 1)) for w in vocabulary}
+    row = docs.select(F.array_intersect(words_of(docs[text]), F.array(*map(F.lit, vocabulary))).alias("w"))
+    found = row.agg(F.count("*").alias("total"), *(F.count_if(F.array_contains("w", w)).alias(f"n{i}") for i, w in enumerate(vocabulary))).collect()[0]
+    return {w: math.log((found["total"] + 1) / (found[f"n{i}"] + 1)) for i, w in enumerate(vocabulary)}
 
 
 def anchors(t: Template, weight: dict[str, float]) -> list[tuple[str, int]]:
@@ -92,29 +92,33 @@ def anchors(t: Template, weight: dict[str, float]) -> list[tuple[str, int]]:
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, places (array of label, start, score)."""
     weight = idf(docs, templates, text)
-    index = [anchors(t, weight) for t in templates]
-    rare = sorted({w for a in index for w, _ in a})
+    postings: dict[str, list[tuple[int, int]]] = {}
+    alone = []  # templates whose key phrase has one distinct word
+    for k, t in enumerate(templates):
+        own = anchors(t, weight)
+        alone += [k] * (len(own) < ANCHORS)
+        for word, position in own:
+            postings.setdefault(word, []).append((k, position))
+    each = lambda values: F.array(*map(F.lit, values))
+    index = F.map_from_arrays(each(postings), F.array(*(F.array(*(F.struct(F.lit(k).alias("template"), F.lit(p).alias("position")) for k, p in own)) for own in postings.values())))
+    keys, texts = (F.array(*(each(words) for words in part)) for part in ([t.key_words for t in templates], [t.words for t in templates]))
+    labels, sizes, key_at = each([t.label for t in templates]), each([len(t.key_words) for t in templates]), each([t.key_at for t in templates])
+
     df = docs.select(docs[id_column].cast("long").alias("doc_id"), words_of(docs[text]).alias("w"))
-    df = df.withColumn("at", F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i).isin(rare)) if rare else F.array().cast("array<int>"))
-    df = df.withColumn("at", F.when(F.size("w") > 0, F.col("at")).otherwise(F.array().cast("array<int>")))
-
-    def starts(word: str, position: int) -> Column:
-        return F.transform(F.filter("at", lambda i: F.get("w", i) == word), lambda i: i - position)
-
-    def places(k: int) -> Column:
-        t, key, size = templates[k], templates[k].key_words, len(templates[k].key_words)
-        shifted = [starts(w, p) for w, p in index[k]]
-        both = shifted[0]
-        for other in shifted[1:]:
-            both = F.array_intersect(both, other)
-        both = F.array_distinct(both)
-        verified = F.filter(both, lambda s: (s >= 0) & (F.slice("w", F.greatest(s, F.lit(0)) + 1, size) == F.array(*map(F.lit, key))))
-        rest, at = t.words, t.key_at
-        agree = lambda s: sum((F.coalesce(F.get("w", s + j - at) == w, F.lit(False)).cast("int") for j, w in enumerate(rest) if not at <= j < at + size), F.lit(size)) / F.lit(float(len(rest)))
-        return F.transform(verified, lambda s: F.struct(F.lit(k).alias("template"), F.lit(t.label).alias("label"), s.cast("long").alias("start"), F.round(agree(s), 6).alias("score")))
-
-    none = F.array().cast("array<struct<template:int,label:string,start:bigint,score:double>>")
-    df = df.withColumn("places", F.when(F.size("at") > 0, F.flatten(F.array(*(places(k) for k in range(len(templates)))))).otherwise(none))
+    at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i).isin(*postings))
+    df = df.withColumn("at", F.when(F.size("w") > 0, at).otherwise(F.array().cast("array<int>")))
+    looked_up = lambda i: F.transform(F.element_at(index, F.get("w", i)), lambda e: F.struct(e["template"].alias("template"), (i - e["position"]).alias("start")))
+    df = df.withColumn("hits", F.array_sort(F.flatten(F.transform("at", looked_up))))
+    # each anchor tells a start once, so where both do, two equal hits lie side by side
+    agreed = F.array_distinct(F.filter("hits", lambda h, j: h["template"].isin(*(alone or [-1])) | (h == F.get("hits", j + 1))))
+    verified = F.filter(agreed, lambda h: (h["start"] >= 0) & (F.slice("w", F.greatest(h["start"], F.lit(0)) + 1, F.get(sizes, h["template"])) == F.get(keys, h["template"])))
+
+    def score(h: Column) -> Column:
+        words = F.get(texts, h["template"])
+        same = F.filter(words, lambda x, j: F.coalesce(F.get("w", h["start"] + j - F.get(key_at, h["template"])) == x, F.lit(False)))
+        return F.round(F.size(same) / F.size(words), 6)
+
+    df = df.withColumn("places", F.transform(verified, lambda h: F.struct(h["template"].alias("template"), F.get(labels, h["template"]).alias("label"), h["start"].cast("long").alias("start"), score(h).alias("score"))))
     base = [k for k, t in enumerate(templates) if t.base]
     df = df.withColumn("base", F.filter("places", lambda p: p["template"].isin(base)))
     joined = lambda c: F.array_join(F.array_sort(F.array_distinct(F.col(f"{c}.label"))), ",")
