@@ -24,7 +24,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -141,14 +140,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     bounds = np.array(sorted({q for q in found["q"] or [] if q < top}, reverse=True)[: n - 1], np.int64)
     last = len(bounds)
 
-    @F.pandas_udf("array<int>")
-    def slots(ids: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<int>")
+    def slots(ids: pa.Array) -> pa.Array:
         """2 * part; and 2 * part + 1 of the part before, where the id is the first of its part (before the first: the last)."""
-        known = ids.fillna(0).to_numpy(np.int64)
-        null = ids.isna().to_numpy()
+        known, null = ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False)
         part = np.where(null, last, np.searchsorted(-bounds, -known, side="right"))
-        first = (null if top is None else ~null & (known == top)) | (~null & (np.isin(known, bounds)))
-        return pd.Series([[2 * p, 2 * ((p or last + 1) - 1) + 1] if f else [2 * p] for p, f in zip(part.tolist(), first.tolist())])
+        first = null if top is None else ~null & ((known == top) | np.isin(known, bounds))
+        size = 1 + first
+        at = np.cumsum(size) - size
+        out = np.zeros(int(size.sum()), np.int32)
+        out[at] = 2 * part
+        out[at[first] + 1] = 2 * (np.where(part > 0, part, last + 1)[first] - 1) + 1
+        return pa.ListArray.from_arrays(pa.array(np.append(at, size.sum()).astype(np.int32)), pa.array(out))
 
     dealt = rows.withColumn("slot", F.explode(slots("doc_id")))
     dealt = dealt.repartitionById(last + 1, F.shiftright("slot", 1)).sortWithinPartitions(F.col("slot"), F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
