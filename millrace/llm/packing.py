@@ -10,7 +10,7 @@ into powers of two, which need no padding. So no sequence is padded, and partiti
 executor's partition is packed again, alone. sequence_id is the partition's number times 2^33 plus a running number.
 
 Ids are found per white-space separated piece of text and remembered in a bounded table: the tokenizer's normaliser and
-pattern never look across white space. A text that holds a string of a special token is ordinary text.
+pattern never look across white space. A text that holds the string of one of the tokenizer's added tokens goes to it whole.
 
 Nulls and edges: a null or empty text is the end id alone, one token. Repeated rows are packed each for itself. An empty
 table gives no pieces. Extra columns are not read. A text of any length is tokenised whole.
@@ -85,8 +85,10 @@ class Ids(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         known = json.loads(self.tokenizer.to_str())
+        added = [t["content"] for t in known.get("added_tokens", [])]
+        # in either case, as an added token may be looked for in the lower-cased text
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         plain = known["normalizer"] == NORMALIZER and known["pre_tokenizer"]["pretokenizers"][0]["pattern"] == {"Regex": PATTERN}
         self.pieces = Pieces(self.tokenizer.model) if plain else None
 
@@ -103,6 +105,8 @@ class Ids(dict):
 
     def of(self, text: str | None) -> bytes:
         text = text or ""
+        if self.added is not None and self.added.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if self.pieces is not None and PLAIN_TEXT.fullmatch(text):
             return b"".join(map(self.pieces.__getitem__, SPLIT.findall(text.lower())))
         # str.split() also splits at these four, which the tokenizer's pattern takes for ordinary characters

@@ -10,14 +10,12 @@ from millrace.llm import packing
 
 @pytest.fixture(scope="module")
 def reference():
-    t = Tokenizer.from_file(packing.tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(packing.tokenizer_path())
 
 
 def test_ids_are_the_tokenizer_s(spark, sf_dir, reference):
     texts = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
-    odd = ["", " ", "It's WE'LL can't", "İI ı K", "<|endoftext|> x", "a\x1cb\x85c d", "日本語 テキスト", "é é", "ﬁ ſs ß", "1234 12a", "\U0001f600\U0001f600", "x" * 5000, "n'tn't 're", "²³ ½", "﻿bom", "a b"]
+    odd = ["", " ", "It's WE'LL can't", "İI ı K", "<|endoftext|> x", "hello <|endoftext|> world", "a<|ENDOFTEXT|>b", "é<|startoftext|>\n\n <|endoftext|>", "<|endoftext", "a\x1cb\x85c d", "日本語 テキスト", "é é", "ﬁ ſs ß", "1234 12a", "\U0001f600\U0001f600", "x" * 5000, "n'tn't 're", "²³ ½", "﻿bom", "a b"]
     ids = packing.Ids(packing.tokenizer_path())
     for t in texts + odd:
         assert np.frombuffer(ids.of(t), "<u4").tolist() == reference.encode(t, add_special_tokens=False).ids, t[:50]
