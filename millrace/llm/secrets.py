@@ -4,14 +4,15 @@ Base spans (assign, access, hex) come from regular expressions over the whole te
 run of 20 or more token characters that overlaps no base span, infers its encoding (hex, letters, base32, base36, base62,
 base64), and tests it in two directions:
 
-* as random text of that alphabet: chi-squared uniformity over the alphabet's classes, the Wald-Wolfowitz runs test about
-  the alphabet's middle, and the lag-1 serial correlation of the symbol ranks; Fisher's method joins the three. A
-  candidate must not be rejected (p >= 0.01).
+* as random text of that alphabet: chi-squared uniformity over the alphabet's symbols, with the moments that it has in a
+  text so short; the Wald-Wolfowitz runs test about the alphabet's middle; and the lag-1 serial correlation of the
+  symbol ranks. Fisher's method joins the three p-values to one. Candidates that are not random go: those that
+  Benjamini-Hochberg discovers by these p-values at `NOT_RANDOM`, so that of what it drops as not random few are random.
 * as written text of that alphabet: a letter follows its predecessor as letter pairs do in words (English, some German,
   French and Spanish), and neighbours change between lower case, upper case, digit and sign at a rate of 0.12. Of a token
   that is written so, the ratio of this probability to that of random text is below x with a probability of x at most,
   whatever the alphabet and length, so it is the p-value of a discovery. Long texts offer more candidates, so discoveries are
-  controlled per document by Benjamini-Hochberg with weights by length (longer candidates carry more evidence) at 1e-4.
+  controlled per document in the same way at 1e-4. Both controls weigh by length, as longer candidates carry more evidence.
 
 Nulls and edges: a null or empty text has no spans. Repeated rows each get their own row. Extra columns are not read.
 Positions are code points. No text is cut; a batch holds as many texts as Arrow's limits allow.
@@ -22,10 +23,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -37,7 +39,7 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 STAY, CHANGE, DIGIT, SIGN = -math.log(1 - 0.12), -math.log(0.12 / 3), math.log(10), math.log(4)
 KINDS = {"assign": 0, "access": 1, "hex": 2, "random": 3}
 
-RANDOM_P, DISCOVERY_RATE = 0.01, 1e-4
+NOT_RANDOM, DISCOVERY_RATE = 0.01, 1e-4
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
@@ -97,7 +99,7 @@ def encoding(token: str) -> str | None:
     return next((k for k, s in SETS.items() if seen <= s), None)
 
 
-def chi2_sf(x: float, df: int) -> float:
+def chi2_sf(x: float, df: float) -> float:
     """P(chi-squared with df degrees of freedom > x), by Wilson and Hilferty's cube root."""
     if df <= 0 or x <= 0:
         return 1.0
@@ -110,22 +112,14 @@ def two_sided(z: float) -> float:
 
 
 def uniformity(token: str, alphabet: str) -> float:
-    """Chi-squared over the alphabet's character classes, or over quarters of a one-class alphabet."""
-    n, ranks = len(token), RANKS[alphabet]
-    symbols = ALPHABETS[alphabet]
-    classes = [CLASS[ord(c)] for c in symbols]
-    if len(symbols) <= 16 or len(set(classes)) == 1:
-        groups = {c: ranks[c] * 4 // len(symbols) for c in symbols}
-    else:
-        groups = {c: k if k < 3 else 2 for c, k in zip(symbols, classes)}
-    expected: dict[int, int] = {}
-    for g in groups.values():
-        expected[g] = expected.get(g, 0) + 1
-    seen: dict[int, int] = {}
-    for c in token:
-        seen[groups[c]] = seen.get(groups[c], 0) + 1
-    x = sum((seen.get(g, 0) - n * m / len(symbols)) ** 2 / (n * m / len(symbols)) for g, m in expected.items())
-    return chi2_sf(x, len(expected) - 1)
+    """Chi-squared over the alphabet's symbols. Of n uniform symbols out of k its mean is k - 1 and its variance
+    2 (k - 1) (n - 1) / n, less than that of its limit: a chi-squared distribution scaled to both moments tells p."""
+    n, k = len(token), len(ALPHABETS[alphabet])
+    x = sum(m * m for m in Counter(token).values()) * k / n - n
+    if n < 2:
+        return 1.0
+    scale = (n - 1) / n
+    return chi2_sf(x / scale, (k - 1) / scale)
 
 
 def runs(ranks: np.ndarray, size: int) -> float:
@@ -180,14 +174,14 @@ def written_cost(body: str) -> float:
     return cost
 
 
-def discoveries(candidates: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
-    """Benjamini-Hochberg over (start, end, p), each p divided by a weight by length whose mean is 1."""
-    if not candidates:
-        return []
-    mean = sum(e - s for s, e, _ in candidates) / len(candidates)
-    ranked = sorted((min(1.0, p * mean / (e - s)), s, e) for s, e, p in candidates)
-    last = max((i for i, (p, _, _) in enumerate(ranked, 1) if p <= DISCOVERY_RATE * i / len(ranked)), default=0)
-    return [(s, e) for _, s, e in ranked[:last]]
+def discoveries(ps: list[float], lengths: list[int], rate: float) -> set[int]:
+    """Benjamini-Hochberg: numbers of the p-values that are discoveries, each divided by a weight by length whose mean is 1."""
+    if not ps:
+        return set()
+    mean = sum(lengths) / len(lengths)
+    ranked = sorted((min(1.0, p * mean / n), i) for i, (p, n) in enumerate(zip(ps, lengths)))
+    last = max((k for k, (p, _) in enumerate(ranked, 1) if p <= rate * k / len(ranked)), default=0)
+    return {i for _, i in ranked[:last]}
 
 
 def spans(text: str | None) -> list[tuple[int, int, int]]:
@@ -207,9 +201,11 @@ def spans(text: str | None) -> list[tuple[int, int, int]]:
             reach, k = max(reach, found[k][2]), k + 1
         if reach > m.start():
             continue
-        _, as_random, as_written = battery(m[0])
-        candidates.append((m.start(), m.end(), as_written if as_random >= RANDOM_P else 1.0))
-    return sorted(found + [(s, 3, e) for s, e in discoveries(candidates)])
+        candidates.append((m.start(), m.end(), *battery(m[0])[1:]))
+    lengths = [e - s for s, e, *_ in candidates]
+    not_random = discoveries([p for _, _, p, _ in candidates], lengths, NOT_RANDOM)
+    secret = discoveries([1.0 if i in not_random else p for i, (_, _, _, p) in enumerate(candidates)], lengths, DISCOVERY_RATE)
+    return sorted(found + [(s, 3, e) for i, (s, e, *_) in enumerate(candidates) if i in secret and i not in not_random])
 
 
 def row(text: str | None) -> tuple[int, int, int, str, str]:
@@ -224,14 +220,15 @@ def row(text: str | None) -> tuple[int, int, int, str, str]:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of each row of docs (doc_id, text)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = pd.DataFrame([row(t) for t in b["text"]], columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
-            out.insert(0, "doc_id", b["doc_id"].astype("Int64").array)
-            yield out
+            columns = zip(*(row(t.as_py()) for t in b.column(1))) if len(b) else [[]] * 5
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return rows.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def query(spark, sf_dir):

@@ -51,3 +51,56 @@ def test_random_tokens_of_every_encoding_are_found():
 def test_long_words_and_names_are_not_found():
     for word in ("lentokonesuihkuturbiinimoottori", "rechtsschutzversicherungsgesellschaften", "getHTTPResponseCodeFromURLv2", "RINDFLEISCHETIKETTIERUNGSUEBERWACHUNG", "anticonstitutionnellement2023", "zhonghuarenmingongheguo"):
         assert secrets.spans(f"see {word} there") == []
+
+
+def controlled(items, rate):
+    """Step-up control, written apart: the largest k of which the k-th weighted p-value is at most rate k / m."""
+    m = len(items)
+    mean = sum(n for _, n in items) / m if m else 0
+    p = sorted((min(1.0, x * mean / n), i) for i, (x, n) in enumerate(items))
+    k = m
+    while k and p[k - 1][0] > rate * k / m:
+        k -= 1
+    return {i for _, i in p[:k]}
+
+
+def tail(x, df):
+    """P(chi-squared > x), by summing the incomplete gamma series."""
+    import math
+
+    a, z = df / 2, x / 2
+    term = total = 1 / a
+    for i in range(1, 2000):
+        term *= z / (a + i)
+        total += term
+    return 1 - total * math.exp(-z + a * math.log(z) - math.lgamma(a)) if z > 0 else 1.0
+
+
+def test_p_values_and_discoveries_against_other_code():
+    import math
+
+    r = random.Random(12)
+    tokens = ["".join(r.choice(string.ascii_letters + string.digits) for _ in range(n)) for n in (20, 24, 32, 40, 64) for _ in range(8)]
+    tokens += ["".join(r.choice(["data", "index", "Value", "module", "station"]) for _ in range(n)) for n in (5, 6, 8) for _ in range(6)]
+    for t in tokens:
+        name, as_random, _ = secrets.battery(t)
+        symbols = secrets.ALPHABETS[name]
+        n, k = len(t), len(symbols)
+        x = sum((t.count(c) - n / k) ** 2 / (n / k) for c in symbols)
+        uniform = tail(x * n / (n - 1), (k - 1) * n / (n - 1))
+        up = [symbols.index(c) * 2 >= k for c in t]
+        a, b = sum(up), n - sum(up)
+        mean = 2 * a * b / n + 1
+        z = (1 + sum(p != q for p, q in zip(up, up[1:])) - mean) / math.sqrt((mean - 1) * (mean - 2) / (n - 1))
+        ranks = [symbols.index(c) for c in t]
+        centre = sum(ranks) / n
+        corr = sum((p - centre) * (q - centre) for p, q in zip(ranks, ranks[1:])) / sum((p - centre) ** 2 for p in ranks)
+        ps = [uniform, math.erfc(abs(z) / math.sqrt(2)), math.erfc(abs(corr + 1 / n) * math.sqrt(n / 2))]
+        want = tail(-2 * sum(math.log(max(p, 1e-300)) for p in ps), 6)
+        assert abs(as_random - want) < 0.02 or abs(math.log(max(as_random, 1e-30) / max(want, 1e-30))) < 1, t
+    text = " ".join(tokens)
+    each = [secrets.battery(t) for t in tokens]
+    gone = controlled([(p, len(t)) for (_, p, _), t in zip(each, tokens)], secrets.NOT_RANDOM)
+    found = controlled([(1.0 if i in gone else p, len(t)) for i, ((_, _, p), t) in enumerate(zip(each, tokens))], secrets.DISCOVERY_RATE) - gone
+    assert {text[s:e] for s, k, e in secrets.spans(text) if k == 3} == {tokens[i] for i in found}
+    assert gone and len(found) >= 30
