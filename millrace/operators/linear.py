@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import kept
+
 DELTA = 0.002
 
 
@@ -65,11 +67,51 @@ def train(instances: DataFrame, order: str = "docid", delta: float = DELTA, shuf
     return out.drop("model_id") if model is None else out
 
 
+#: Weights up to which models are broadcast to where the instances lie, 16 bytes each; beyond, features are joined by a shuffle.
+BROADCAST_WEIGHTS = 200_000
+
+
+def last_wins(models: DataFrame, *keys: str) -> DataFrame:
+    """One weight for each of the keys: of repeated ones that with the greatest `at`, where there is such a column; otherwise
+    which one of them is not defined, as rows of a table have no order."""
+    order = "at" if "at" in models.columns else "weight"
+    return models.groupBy(*keys).agg(F.max_by("weight", order).alias("weight"))
+
+
+def _sums(instances: DataFrame, models: DataFrame, order: list[int]) -> DataFrame:
+    """(docid, label, s0, s1, ...): a row for each instance, with the sum of its features' weights in each model of `order`.
+
+    Each occurrence of a feature counts, unknown ones count 0. models: (model_id, feature, weight), no feature twice in one.
+    Instances stay where they lie if the weights are few enough to be told to all tasks; otherwise each gets a number, by which
+    its sums come together again, so instances that share a docid never do.
+    """
+    names = [f"s{i}" for i in range(len(order))]
+    few = models.limit(BROADCAST_WEIGHTS + 1).collect()
+    if len(few) <= BROADCAST_WEIGHTS:
+        place = {m: i for i, m in enumerate(order)}
+        table: list[dict[int, float]] = [{} for _ in order]
+        for r in few:
+            if r["model_id"] in place:
+                table[place[r["model_id"]]][r["feature"]] = r["weight"] or 0.0
+        told = instances.sparkSession.sparkContext.broadcast(table)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                features = [f or () for f in b.column(2).to_pylist()]
+                sums = [pa.array([math.fsum(w.get(x, 0.0) for x in f) for f in features], pa.float64()) for w in told.value]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *sums], ["docid", "label", *names])
+
+        kind = instances.schema["docid"].dataType.simpleString()
+        return instances.select("docid", F.col("label").cast("string").alias("label"), F.col("features").cast("array<int>").alias("features")).mapInArrow(run, f"docid {kind}, label string, " + ", ".join(f"{n} double" for n in names))
+    by_feature = models.groupBy("feature").agg(*(F.max(F.when(F.col("model_id") == m, F.col("weight"))).alias(f"w{i}") for i, m in enumerate(order)))
+    # numbers of rows are made once and written down, as a row that is computed again could get another one
+    counted = kept(instances.select("docid", "label", F.monotonically_increasing_id().alias("row"), "features")).select("docid", "label", "row", F.explode_outer("features").alias("feature"))
+    return counted.join(by_feature, "feature", "left").groupBy("row").agg(F.first("docid").alias("docid"), F.first("label").alias("label"), *(F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(n) for i, n in enumerate(names))).drop("row")
+
+
 def scores(instances: DataFrame, model: DataFrame) -> DataFrame:
-    """(docid, label, score): the sum of the features' weights, each occurrence; unknown features count 0."""
-    counted = instances.select("docid", "label", F.explode_outer("features").alias("feature"))
-    found = counted.join(model.select("feature", "weight"), "feature", "left")
-    return found.groupBy("docid", "label").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("score"))
+    """(docid, label, score) for each instance, rows that share a docid too."""
+    return _sums(instances, last_wins(model, "feature").withColumn("model_id", F.lit(0)), [0]).withColumnRenamed("s0", "score")
 
 
 def apply(instances: DataFrame, model: DataFrame) -> DataFrame:
@@ -81,17 +123,16 @@ def ensemble(instances: DataFrame, models: DataFrame, method: str = "average", d
     """(docid, label, score, prediction) by several models (model_id, feature, weight).
 
     `average`: the mean of the models' scores. `vote`: models with a score above 0 less the others; scores within half of
-    10^-digits of 0 are taken for 0, which float sums in another order are. Any other method raises ValueError.
+    10^-digits of 0 are taken for 0, which float sums in another order are. Any other method, or no models, raises ValueError.
+    A row for each instance; of a feature that a model repeats, the last weight counts (by `at`, as readers give it).
     """
     if method not in ("average", "vote"):
         raise ValueError(f"unknown method {method!r}: average or vote")
-    ids = models.select("model_id").distinct()
-    n = ids.count()
-    counted = instances.select("docid", "label", F.explode_outer("features").alias("feature"))
-    # one pass: an array of the models' weights by feature
-    order = [r[0] for r in ids.orderBy("model_id").collect()]
-    by_feature = models.groupBy("feature").agg(*(F.sum(F.when(F.col("model_id") == m, F.col("weight"))).alias(f"w{i}") for i, m in enumerate(order)))
-    found = counted.join(by_feature, "feature", "left").groupBy("docid", "label").agg(*(F.coalesce(F.sum(f"w{i}"), F.lit(0.0)).alias(f"s{i}") for i in range(n)))
+    order = [r[0] for r in models.select("model_id").distinct().orderBy("model_id").collect()]
+    if not order:
+        raise ValueError("no models")
+    n = len(order)
+    found = _sums(instances, last_wins(models, "model_id", "feature"), order)
     each = [F.col(f"s{i}") for i in range(n)]
     if method == "average":
         score = sum(each[1:], each[0]) / F.lit(float(n))

@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.operators import linear
 
@@ -56,6 +57,19 @@ def test_apply(spark):
     assert got == {"a": (0.5, "spam"), "b": (0.0, "ham"), "c": (0.0, "ham"), "d": (0.0, "ham")}
 
 
+@pytest.mark.parametrize("told", [True, False])
+def test_instances_of_one_docid_and_repeated_features(spark, monkeypatch, told):
+    monkeypatch.setattr(linear, "BROADCAST_WEIGHTS", 100 if told else 1)
+    df = spark.createDataFrame([("a", "spam", [1]), ("a", "spam", [1]), ("a", "ham", [1, 2, 2]), ("b", None, None)], SCHEMA)
+    model = spark.createDataFrame([(1, 9.0, 0), (1, 0.5, 1), (2, 0.25, 0), (3, 1.0, 0)], "feature int, weight double, at long")
+    got = sorted((r["docid"], r["label"] or "", r["score"]) for r in linear.scores(df, model).collect())
+    assert got == [("a", "ham", 1.0), ("a", "spam", 0.5), ("a", "spam", 0.5), ("b", "", 0.0)]
+    models = model.withColumn("model_id", F.lit(0)).union(model.withColumn("model_id", F.lit(1)))
+    assert sorted(r["score"] for r in linear.ensemble(df, models, "average").collect()) == [0.0, 0.5, 0.5, 1.0]
+    with pytest.raises(ValueError):
+        linear.ensemble(df, models.limit(0))
+
+
 def test_ensemble(spark):
     models = spark.createDataFrame([(0, 1, 1.0), (1, 1, 1.0), (2, 1, -3.0), (0, 2, -1.0), (1, 2, -1.0), (2, 2, 5.0)], "model_id int, feature int, weight double")
     df = spark.createDataFrame([("a", "spam", [1]), ("b", "ham", [2]), ("c", "ham", [3])], SCHEMA)
