@@ -46,24 +46,35 @@ def bigram(spark, a):
 
 
 def index_build(spark, a):
-    writers.clustered(index.build(readers.lines_with_offsets(spark, a.input), wide=a.layout == "wide-row"), a.output, "term")
+    writers.clustered(index.build(readers.lines_with_offsets(spark, a.input), wide=a.layout == "wide-row"), a.output, "term", files=a.reducers)
 
 
 def index_query(spark, a):
-    found = retrieval.search_index(spark.read.parquet(a.index), a.query, strict=not a.lenient)
+    table = spark.read.parquet(a.index)
+    if a.layout and (a.layout == "wide-row") != ("qualifier" in table.columns):
+        raise SystemExit(f"the index does not have the layout {a.layout}")
+    found = retrieval.search_index(table, a.query, strict=not a.lenient)
     docs = readers.lines_with_offsets(spark, a.collection)
     for row in retrieval.snippets(found, docs).orderBy("doc").toLocalIterator():
         print(row["doc"], row["line"], sep="\t")
 
 
 def graph_build(spark, a):
+    _nodes_given(a)
     nodes, edges = readers.adjacency(spark, a.input)
     writers.parquet(nodes, f"{a.output}/nodes")
     writers.parquet(edges, f"{a.output}/edges")
     writers.parquet(graph.initial(nodes, _ids(a.sources)), writers.iteration_path(a.output, 0))
 
 
+def _nodes_given(a: argparse.Namespace) -> None:
+    """The number of nodes is counted from the records where it matters; a given one must make sense."""
+    if a.numNodes is not None and a.numNodes <= 0:
+        raise SystemExit("--numNodes must be above 0")
+
+
 def graph_partition(spark, a):
+    _nodes_given(a)
     edges = spark.read.parquet(f"{a.input}/edges")
     dealt = edges.repartitionByRange(a.numPartitions, "src") if a.range else edges.repartition(a.numPartitions, "src")
     writers.parquet(dealt.sortWithinPartitions("src"), f"{a.output}/edges")
@@ -72,10 +83,13 @@ def graph_partition(spark, a):
 
 
 def ppr_run(spark, a):
+    _nodes_given(a)
     nodes, edges = spark.read.parquet(f"{a.base}/nodes"), spark.read.parquet(f"{a.base}/edges")
     prepared = graph.prepared(nodes, edges)
     for i in range(a.start, a.end):
         state = spark.read.parquet(writers.iteration_path(a.base, i))
+        if a.sources:
+            state = state.where(F.col("source").isin(_ids(a.sources)))
         writers.parquet(graph.step(state, prepared, graph.ALPHA), writers.iteration_path(a.base, i + 1))
 
 
@@ -85,7 +99,7 @@ def ppr_top(spark, a):
         ranks = ranks.where(F.col("source").isin(_ids(a.sources)))
     topped = graph.report(graph.top(ranks, a.top))
     if a.output:
-        writers.parquet(topped, a.output)
+        writers.tsv(topped.select("source", "line"), a.output)
     last = None
     for row in topped.orderBy("source", "rank").toLocalIterator():
         if row["source"] != last:
@@ -150,7 +164,7 @@ def parser() -> argparse.ArgumentParser:
     tool("pmi", pmi, "input", "output", reducers=reducers, form=forms)
     tool("bigrams", bigram, "input", "output", reducers=reducers, form=forms)
     tool("index-build", index_build, "input", "output", reducers=reducers, layout=layout)
-    tool("index-query", index_query, "index", "collection", "query", layout=layout, lenient=flag)
+    tool("index-query", index_query, "index", "collection", "query", layout={"choices": ("file", "wide-row")}, lenient=flag)
     tool("graph-build", graph_build, "input", "output", "sources", numNodes={"type": int})
     tool("graph-partition", graph_partition, "input", "output", numNodes={"type": int}, numPartitions={"type": int, "default": 8}, range=flag)
     tool("ppr-run", ppr_run, "base", start={"type": int, "default": 0}, end={"type": int, "required": True}, numNodes={"type": int}, sources={}, useCombiner=flag)

@@ -71,9 +71,11 @@ def pagerank(nodes: DataFrame, edges: DataFrame, sources: Sequence[int], iterati
 
 
 def filled(ranks: DataFrame, nodes: DataFrame, sources: Sequence[int]) -> DataFrame:
-    """(source, id, p) with a row for each source and node, zero where there is no mass."""
-    each = nodes.select("id", F.explode(F.array(*(F.lit(int(s)).cast("long") for s in dict.fromkeys(sources)))).alias("source"))
-    return each.join(ranks, ["source", "id"], "left").select("source", "id", F.coalesce("p", F.lit(0.0)).alias("p"))
+    """(source, id, p) with a row for each source and node, zero where there is no mass. A repeated source has rows for each time it
+    is given: the first time its mass, later zero everywhere."""
+    told = [F.struct(F.lit(int(s)).cast("long").alias("source"), F.lit(s in sources[:i]).alias("again")) for i, s in enumerate(sources)]
+    each = nodes.select("id", F.inline(F.array(*told)))
+    return each.join(ranks, ["source", "id"], "left").select("source", "id", F.when(F.col("again"), 0.0).otherwise(F.coalesce("p", F.lit(0.0))).alias("p"))
 
 
 def top(ranks: DataFrame, k: int = 10, digits: int = 8) -> DataFrame:

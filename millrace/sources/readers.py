@@ -28,13 +28,26 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lines_with_offsets(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, text): each line with its byte offset as a long. Compressed files have no offsets to seek to, so they raise."""
-    if path.endswith(".gz"):
+    """(doc_id, text): each line with its byte offset as a long. Compressed files, in a folder too, have no offsets to seek to, so
+    they raise."""
+    if path.endswith(".gz") or any(name.endswith(".gz") for name in file_names(spark, path)):
         raise ValueError("a gzip file can't be sought in; decompress the collection first")
     kinds = "org.apache.hadoop.mapreduce.lib.input.TextInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.Text"
     return spark.createDataFrame(spark.sparkContext.newAPIHadoopFile(path, *kinds), "doc_id long, text string")
 
 
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files that a path, a folder or a pattern holds."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = []
+    for found in fs.globStatus(p) or ():
+        files = fs.listFiles(found.getPath(), True)
+        while files.hasNext():
+            names.append(files.next().getPath().getName())
+    return names
+
+
 def document_lines(docs: DataFrame) -> DataFrame:
     """(line) for each line of documents' texts."""
     return docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
@@ -60,6 +73,7 @@ def model(spark: SparkSession, path: str) -> DataFrame:
 
 
 def models(spark: SparkSession, path: str) -> DataFrame:
-    """(model_id, feature, weight) of the files part-00000, part-00001, ... of a folder, one model each."""
-    x = spark.read.text(path).select(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int").alias("model_id"), F.split(F.regexp_replace(F.trim("value"), "[()]", ""), ",").alias("x"))
-    return x.where((F.size("x") == 2) & F.col("model_id").isNotNull()).select("model_id", F.col("x")[0].cast("int").alias("feature"), F.col("x")[1].cast("double").alias("weight"))
+    """(model_id, feature, weight, at) of the files part-00000, part-00001, ... of a folder, one model each; `at` grows with the lines,
+    so that of repeated features the last stands."""
+    x = spark.read.text(path).select(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int").alias("model_id"), F.split(F.regexp_replace(F.trim("value"), "[()]", ""), ",").alias("x"), F.monotonically_increasing_id().alias("at"))
+    return x.where((F.size("x") == 2) & F.col("model_id").isNotNull()).select("model_id", F.col("x")[0].cast("int").alias("feature"), F.col("x")[1].cast("double").alias("weight"), "at")

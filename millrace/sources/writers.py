@@ -25,14 +25,10 @@ def parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def clustered(df: DataFrame, path: str, *keys: str) -> None:
-    """Parquet ranged and sorted by the keys: a look-up by key reads the few row groups whose bounds hold it."""
-    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
-
-
-def bucketed(df: DataFrame, table: str, key: str, buckets: int = 64) -> None:
-    """A warehouse table bucketed and sorted by key, for joins without a shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+def clustered(df: DataFrame, path: str, *keys: str, files: int = 0) -> None:
+    """Parquet ranged and sorted by the keys: a look-up by key reads the few row groups whose bounds hold it. `files` of them, or
+    as many as the session's shuffles have partitions."""
+    df.repartitionByRange(*([files] if files else []), *keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
 
 
 def iteration_path(base: str, i: int) -> str:

@@ -36,14 +36,21 @@ def test_index(spark, text, tmp_path, capsys, layout):
     cli.main(["index-build", "--input", text, "--output", f"{tmp_path}/i", "--layout", layout])
     cli.main(["index-query", "--index", f"{tmp_path}/i", "--collection", text, "--query", "the cat AND", "--layout", layout])
     out = capsys.readouterr().out.splitlines()
+    with pytest.raises(SystemExit):
+        cli.main(["index-query", "--index", f"{tmp_path}/i", "--collection", text, "--query", "the", "--layout", "file" if layout == "wide-row" else "wide-row"])
     assert len(out) == 12 and out[0] == "0\tthe cat of the dog"
 
 
-def test_gzip_is_refused(spark):
+def test_gzip_is_refused(spark, tmp_path):
     from millrace.sources.readers import lines_with_offsets
 
     with pytest.raises(ValueError):
         lines_with_offsets(spark, "x.gz")
+    (tmp_path / "part-0").write_text("a\n")
+    assert lines_with_offsets(spark, str(tmp_path)).count() == 1
+    (tmp_path / "part-1.gz").write_bytes(b"")
+    with pytest.raises(ValueError):
+        lines_with_offsets(spark, str(tmp_path))
 
 
 def test_graph(spark, tmp_path, capsys):
@@ -53,6 +60,10 @@ def test_graph(spark, tmp_path, capsys):
     cli.main(["ppr-run", "--base", f"{tmp_path}/h", "--start", "0", "--end", "3", "--numNodes", "4", "--sources", "1,4"])
     cli.main(["ppr-top", "--input", f"{tmp_path}/h/iter0003", "--top", "2", "--sources", "1,4"])
     out = capsys.readouterr().out
+    cli.main(["ppr-top", "--input", f"{tmp_path}/h/iter0003", "--top", "1", "--sources", "4", "--output", f"{tmp_path}/top"])
+    assert written(f"{tmp_path}/top") == ["4\t1.00000 4"]
+    with pytest.raises(SystemExit):
+        cli.main(["graph-build", "--input", f"{tmp_path}/g.txt", "--output", f"{tmp_path}/x", "--numNodes", "0", "--sources", "1"])
     assert out.startswith("Source: 1\n") and "Source: 4\n1.00000 4\n" in out
 
 
