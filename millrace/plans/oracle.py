@@ -90,3 +90,20 @@ SELECT feature::int AS feature, round(weight, 9) + 0.0 AS weight FROM final WHER
     "spam_ensemble_average": f"WITH {_EACH}, scored AS (SELECT docid, label, sum(s) / 3 AS score FROM each_one GROUP BY docid, label) SELECT docid, label, round(score, 6) + 0.0 AS score, CASE WHEN round(score, 9) > 0 THEN 'spam' ELSE 'ham' END AS prediction FROM scored",
     "spam_ensemble_vote": f"WITH {_EACH}, scored AS (SELECT docid, label, (2 * sum((round(s, 9) > 0)::int) - 3)::double AS score FROM each_one GROUP BY docid, label) SELECT docid, label, score, CASE WHEN score > 0 THEN 'spam' ELSE 'ham' END AS prediction FROM scored",
 }
+
+_TWICE = """twice AS (SELECT docid, label, f FROM instances UNION ALL SELECT docid, label, list_concat(f, f) FROM instances),
+numbered AS (SELECT row_number() OVER () AS i, * FROM twice), flat AS (SELECT i, unnest(f) AS feature FROM numbered),
+sums AS (SELECT i, sum(weight) AS s FROM flat JOIN models USING (feature) WHERE model_id = 0 GROUP BY i)"""
+# the same answers by another way: through an index, or through text written and read back
+ORACLES |= {
+    "boolean_index_and": ORACLES["boolean_and"],
+    "boolean_index_or": ORACLES["boolean_or"],
+    "boolean_index_nested": ORACLES["boolean_nested"],
+    "index_file": ORACLES["boolean_nested"],
+    "ppr_repeated_source": f"WITH {_ppr((3,))} SELECT source::bigint AS source, id, round(p, 9) AS p FROM r3 UNION ALL SELECT 3::bigint, id, 0.0::double FROM nodes",
+    "q1_substring": "SELECT count(*)::bigint AS cnt FROM lineitem WHERE contains(strftime(l_shipdate, '%Y-%m-%d'), '01-01')",
+    "spam_apply_repeated": f"WITH {_INSTANCES}, {_models('(0)')}, {_TWICE}, scored AS (SELECT docid, label, round(coalesce(s, 0)::double, 6) + 0.0 AS score FROM numbered LEFT JOIN sums USING (i)) SELECT docid, label, score, CASE WHEN score > 0 THEN 'spam' ELSE 'ham' END AS prediction FROM scored",
+    "spam_models_text": ORACLES["spam_ensemble_average"],
+    "adjacency_text": ORACLES["graph_adjacency"],
+    "tbl_pricing_summary": ORACLES["q6_pricing_summary"],
+}

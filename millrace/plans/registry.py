@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import feature, tokens
 from ..operators import bigrams, cooccurrence, counts, graph, index, linear, relational, retrieval
+from ..session import shared_folder
+from ..sources import readers, writers
 from ..sources.readers import document_lines
 from ..tables import table
 from .oracle import ORACLES
@@ -137,6 +140,73 @@ def spam_ensemble(method: str) -> Query:
     return lambda spark, sf_dir: linear.ensemble(spam_instances(spark, sf_dir), closed_models(spark), method).withColumn("score", F.round("score", 6) + 0.0)
 
 
+def boolean_index(query: str) -> Query:
+    """Through the gap-encoded index, of which only the query's terms are decoded."""
+    return lambda spark, sf_dir: retrieval.search_index(index.build(_docs(spark, sf_dir)), query)
+
+
+def ppr_repeated_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _graph(spark, sf_dir)
+    twice = (SOURCES[0], SOURCES[0])
+    return graph.filled(graph.pagerank(nodes, edges, twice, ITERATIONS), nodes, twice).withColumn("p", F.round("p", 9))
+
+
+def spam_apply_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each instance twice, the second time with its features twice: rows that share a docid are scored each for itself."""
+    once = spam_instances(spark, sf_dir)
+    both = once.union(once.select("docid", "label", F.concat("features", "features")))
+    model = closed_models(spark).where("model_id = 0").select("feature", "weight")
+    s = linear.scores(both, model).withColumn("score", F.round("score", 6) + 0.0)
+    return s.withColumn("prediction", F.when(F.col("score") > 0, "spam").otherwise("ham"))
+
+
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/text-{uuid.uuid4().hex}"
+
+
+def spam_models_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instances and models written as text and read back; each model has its features twice, of which the last line counts."""
+    base = _scratch(spark)
+    x = spam_instances(spark, sf_dir)
+    x.select(F.concat_ws(" ", F.col("docid").cast("string"), "label", F.array_join(F.col("features").cast("array<string>"), " ")).alias("value")).write.text(f"{base}/instances")
+    for m in range(3):
+        own = closed_models(spark).where(F.col("model_id") == m).select("feature", "weight")
+        wrong = own.select(F.lit(0).alias("line"), "feature", (F.col("weight") + 1).alias("weight"))
+        lines = wrong.union(own.select(F.lit(1), "feature", "weight")).repartition(1).sortWithinPartitions("line", "feature")
+        lines.select(F.concat(F.lit("("), F.col("feature").cast("string"), F.lit(","), F.col("weight").cast("string"), F.lit(")")).alias("value")).write.text(f"{base}/written/{m}")
+    each = [readers.model(spark, f"{base}/written/{m}").withColumn("model_id", F.lit(m)) for m in range(3)]
+    models = each[0].unionByName(each[1]).unionByName(each[2])
+    found = linear.ensemble(readers.instances(spark, f"{base}/instances"), models, "average")
+    return found.withColumn("docid", F.col("docid").cast("long")).withColumn("score", F.round("score", 6) + 0.0)
+
+
+def adjacency_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph written as adjacency lines and read back."""
+    base = _scratch(spark)
+    nodes, edges = _graph(spark, sf_dir)
+    out = edges.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list("dst")).cast("array<string>").alias("to"))
+    lines = nodes.join(out, "id", "left").select(F.concat_ws(" ", F.col("id").cast("string"), "to").alias("value"))
+    lines.write.text(f"{base}/graph")
+    return graph.records(*readers.adjacency(spark, f"{base}/graph"))
+
+
+def tbl_pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items written as '|'-separated text, as `.tbl` files are, and read back."""
+    base = _scratch(spark)
+    li = table(spark, sf_dir, "lineitem")
+    names = [c.split()[0] for c in readers.TBL["lineitem"].split(", ")]
+    cells = [F.lit("x") if n not in li.columns else F.date_format(n, "yyyy-MM-dd") if n == "l_shipdate" else F.col(n).cast("string") for n in names]
+    li.select(F.concat(F.concat_ws("|", *cells), F.lit("|")).alias("value")).write.text(f"{base}/lineitem.tbl")
+    return relational.pricing_summary(readers.tbl(spark, f"{base}/lineitem.tbl", "lineitem"), PATTERN)
+
+
+def index_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index written in order of terms, and one look-up in the file."""
+    path = f"{_scratch(spark)}/index"
+    writers.clustered(index.build(_docs(spark, sf_dir)), path, "term")
+    return retrieval.search_index(spark.read.parquet(path), NESTED_QUERY)
+
+
 QUERIES: dict[str, Query] = {
     "word_count": _over_lines(counts.word_count),
     "prefix_count": _over_lines(counts.prefix_count),
@@ -172,4 +242,14 @@ QUERIES: dict[str, Query] = {
     "spam_apply": spam_apply,
     "spam_ensemble_average": spam_ensemble("average"),
     "spam_ensemble_vote": spam_ensemble("vote"),
+    "boolean_index_and": boolean_index(AND_QUERY),
+    "boolean_index_or": boolean_index(OR_QUERY),
+    "boolean_index_nested": boolean_index(NESTED_QUERY),
+    "index_file": index_file,
+    "ppr_repeated_source": ppr_repeated_source,
+    "q1_substring": _tables(relational.shipped_count, "lineitem", pattern="01-01"),
+    "spam_apply_repeated": spam_apply_repeated,
+    "spam_models_text": spam_models_text,
+    "adjacency_text": adjacency_text,
+    "tbl_pricing_summary": tbl_pricing_summary,
 }
