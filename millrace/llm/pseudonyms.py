@@ -8,8 +8,10 @@ Each value is permuted within its format by alternating unbalanced Feistel round
 key, the kind, the round and the other half. Numbers with a domain of their own (dates: days; addresses; social security
 numbers) are permuted in it exactly, as Z_a x Z_b; other values by characters, where a digit stays a digit and a letter a
 letter of its case. Check digits are made anew, separators stay, and so do a card's first digit, an IBAN's country, a
-phone's country code and an e-mail's domain. So equal values become equal pseudonyms in all documents and formats, and
-`restore=True` with the same key gives back the text exactly.
+phone's country code and an e-mail's domain. So equal values become equal pseudonyms in all documents, and in all formats but
+one: days written dd/MM/yyyy, read so only where MM/dd doesn't fit, are permuted among such days. `restore=True` with the
+same key gives back the text exactly. The operator takes the key from its caller; the registered query takes it from the
+session's setting `spark.millrace.pseudonyms.key`, and without that one uses a key that everybody knows.
 
 Everything happens within a row: no shuffle. Nulls and edges: a null text stays null with no finds; an empty one empty.
 Texts are read whole; the patterns are linear in their length. Repeated rows each get their own row. Extra columns are not
@@ -21,10 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY = "millrace-pseudonyms"
+#: The session's setting that holds the key, and the key of the registered query where it is unset; it hides nothing.
+SETTING, OPEN_KEY = "spark.millrace.pseudonyms.key", "open"
 ROUNDS = 6
 
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+# Groups repeat a bounded number of times: Java's regular expressions recurse for each repetition of a group.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,30}"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP = rf"(?<![0-9A-Za-z])(?<![0-9]\.)(?:{OCTET}\.){{3}}{OCTET}(?![0-9A-Za-z]|\.[0-9])"
 DATE = r"(?<![0-9A-Za-z])(?<![0-9][./-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?![0-9A-Za-z]|[./-][0-9])"
@@ -34,8 +38,18 @@ SSN = r"(?<![0-9A-Za-z])(?<![0-9]-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-
 PHONE = r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}([ .-])[0-9]{3}\5[0-9]{4})(?![0-9A-Za-z])"
 PATTERN = "|".join((EMAIL, IP, DATE, IBAN, CARD, SSN, PHONE))
 
+# The country calling codes of one and two digits; all others have three.
+CALLING_CODES = (
+    "1", "7",
+    "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49",
+    "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66",
+    "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98",
+)
+
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)  # 17 * 4297 = 73,049 days, to the end of 2099
 AREAS, SERIALS = 898, 99 * 9999
+#: Steps after which a walk along the permutation has come to a day after the 12th; one in 10^24 takes longer.
+WALK = 60
 
 
 def mixed(*parts: Column) -> Column:
@@ -124,17 +138,25 @@ def pseudonym(t: Column, key: str, restore: bool) -> Column:
     a = feistel_number(octet(1) * 256 + octet(2), octet(3) * 256 + octet(4), 65536, 65536, "ip", key, restore)
     ip = named("ip", F.get(F.transform(F.array(a), lambda x: F.concat_ws(".", *(F.floor(x[h] / 256).cast("string") if hi else (x[h] % 256).cast("string") for h in "lr" for hi in (True, False)))), 0))
 
-    def date(*formats: tuple[str, str]) -> Column:
-        out = none
-        for pattern, layout in reversed(formats):
-            day = F.try_to_date(t, layout)
-            n = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
-            p = feistel_number(F.floor(n / DAYS[1]), n % DAYS[1], *DAYS, "date", key, restore)
-            new = F.get(F.transform(F.array(p), lambda x: F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (x["l"] * DAYS[1] + x["r"]).cast("int")), layout)), 0)  # noqa: B023
-            out = F.when(t.rlike(pattern) & n.between(0, DAYS[0] * DAYS[1] - 1), named("date", new)).otherwise(out)
-        return out
+    first = F.lit(FIRST_DAY).cast("date")
+
+    def permuted(n: Column) -> Column:
+        p = feistel_number(F.floor(n / DAYS[1]), n % DAYS[1], *DAYS, "date", key, restore)
+        return F.get(F.transform(F.array(p), lambda x: (x["l"] * DAYS[1] + x["r"]).cast("int")), 0)
+
+    # the first layout that fits, by its number, and the day's number
+    layouts = [*((rf"^[0-9]{{4}}\{s}", f"yyyy{s}MM{s}dd") for s in "-/."), *((rf"^[0-9]{{2}}\{s}", f"dd{s}MM{s}yyyy") for s in ".-"), (r"^[0-9]{2}/", "MM/dd/yyyy"), (r"^[0-9]{2}/", "dd/MM/yyyy")]
+    day = lambda layout: F.datediff(F.try_to_date(t, layout), first)
+    found = F.coalesce(*(F.when(t.rlike(pattern) & day(layout).between(0, DAYS[0] * DAYS[1] - 1), F.struct(day(layout).alias("n"), F.lit(k).alias("k"))) for k, (pattern, layout) in enumerate(layouts)))
+
+    def dated(x: Column) -> Column:
+        # dd/MM is read so only where MM/dd doesn't fit, so the walk goes on to a day after the 12th, which reads so again
+        late = lambda n: F.dayofmonth(F.date_add(first, n)) > 12
+        steps = F.sequence(F.lit(1), F.when(x["k"] == len(layouts) - 1, WALK).otherwise(1))
+        n = F.aggregate(steps, x["n"], lambda n, i: F.when((i > 1) & late(n), n).otherwise(permuted(n)))
+        return F.get(F.transform(F.array(n), lambda n: F.coalesce(*(F.when(x["k"] == k, F.date_format(F.date_add(first, n), layout)) for k, (_, layout) in enumerate(layouts)))), 0)
 
-    dates = date(*((rf"^[0-9]{{4}}\{s}", f"yyyy{s}MM{s}dd") for s in "-/."), *((rf"^[0-9]{{2}}\{s}", f"dd{s}MM{s}yyyy") for s in ".-"), (r"^[0-9]{2}/", "MM/dd/yyyy"), (r"^[0-9]{2}/", "dd/MM/yyyy"))
+    dates = F.coalesce(F.get(F.transform(F.array(found), lambda x: F.when(x.isNotNull(), named("date", dated(x)))), 0), none)
 
     whole = F.replace(t, F.lit(" "), F.lit(""))
     country, bban = F.substring(whole, 1, 2), F.substr(whole, F.lit(5), F.length(whole))
@@ -151,9 +173,10 @@ def pseudonym(t: Column, key: str, restore: bool) -> Column:
     new_ssn = F.get(F.transform(F.array(s), lambda x: F.format_string("%03d-%02d-%04d", x["l"] + 1 + F.when(x["l"] >= 665, 1).otherwise(0), F.floor(x["r"] / 9999) + 1, x["r"] % 9999 + 1)), 0)
     ssn = F.when((area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0), named("ssn", new_ssn)).otherwise(none)
 
-    code = F.regexp_extract(t, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
-    rest = F.substr(t, F.length(code) + 1, F.length(t))
-    phone = F.when(F.length(d).between(7, 15), named("phone", F.concat(code, laid_out(rest, feistel_text(digits(rest), "phone", key, restore))))).otherwise(none)
+    # the country code by the digits, so that it is the same however the number is written
+    size = F.when(~t.startswith("+"), 0).when(F.substring(d, 1, 1).isin(*(c for c in CALLING_CODES if len(c) == 1)), 1).when(F.substring(d, 1, 2).isin(*(c for c in CALLING_CODES if len(c) == 2)), 2).otherwise(3)
+    number = F.concat(F.substr(d, F.lit(1), size), feistel_text(F.substr(d, size + 1, F.length(d)), "phone", key, restore))
+    phone = F.when(F.length(d).between(7, 15), named("phone", laid_out(t, number))).otherwise(none)
 
     return (
         F.when(t.contains("@"), email)
@@ -166,7 +189,7 @@ def pseudonym(t: Column, key: str, restore: bool) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, restore: bool = False, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, restore: bool = False, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text with pseudonyms, n_found, kinds (distinct, sorted, comma-joined) of each row of docs."""
     df = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     df = df.withColumn("m", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
@@ -178,4 +201,4 @@ def pseudonymise(docs: DataFrame, key: str = KEY, restore: bool = False, id_colu
 
 
 def query(spark, sf_dir):
-    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.conf.get(SETTING, OPEN_KEY))

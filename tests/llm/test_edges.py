@@ -10,7 +10,7 @@ from millrace.llm import licenses, linededup, mixing, nearcopies, packing, pseud
 LINKS = [toxicity.Link("low_quality", {"word1": 1.0}, [], -1.0, 0.5), toxicity.Link("toxic", {"hunter": 9.0}, [0.1], -3.0, 0.5)]
 PER_ROW = {
     "licenses": licenses.scan,
-    "pseudonyms": pseudonyms.pseudonymise,
+    "pseudonyms": lambda docs: pseudonyms.pseudonymise(docs, "k"),
     "secrets": secrets.scan,
     "winnowing": winnowing.fingerprints,
     "simhash": simhash.near_duplicates,
@@ -67,3 +67,15 @@ def test_near_copies_keep_one_of_repeated_rows(odd):
     assert max(kept.values()) == 1
     assert [i for i, t in kept if t == "a b c d e f g h"] == [1]
     assert [i for i, t in kept if not (t or "").strip()] == [2]  # texts without words are alike
+
+
+def test_large_ids_beside_nulls(spark, odd):
+    """Ids beyond what doubles hold, and a null one, come out of each operator as they are."""
+    big = 2**53
+    rows = [(big + 2 * i + 1, f"text number {i} of a few words", "en", "s", None) for i in range(60)] + [(None, "no id here at all", "en", "s", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    want = Counter(r[0] for r in rows)
+    for name, operator in PER_ROW.items():
+        assert Counter(r["doc_id"] for r in operator(df).collect()) == want, name
+    assert Counter(r["doc_id"] for r in packing.pack_documents(df).where("start = 0").collect()) == want
+    assert Counter(r["doc_id"] for r in nearcopies.drop_near_copies(df).collect()) == want
