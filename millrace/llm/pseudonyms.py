@@ -80,12 +80,13 @@ def feistel_text(s: Column, kind: str, key: str, restore: bool) -> Column:
     sign = -1 if restore else 1
 
     def shifted(half: Column, stream: Column) -> Column:
-        def one(c: Column, i: Column) -> Column:
-            k = sign * F.conv(F.substr(stream, 2 * (i % 64) + 1, F.lit(2)), 16, 10).cast("int")
+        def one(c: Column, i: Column, bytes_: Column) -> Column:
+            k = sign * F.conv(F.substr(bytes_, 2 * (i % 64) + 1, F.lit(2)), 16, 10).cast("int")
             turn = lambda first, n: F.chr(F.lit(first) + F.pmod(F.ascii(c) - first + k, F.lit(n)))
             return F.when(c.between("0", "9"), turn(48, 10)).when(c.between("a", "z"), turn(97, 26)).when(c.between("A", "Z"), turn(65, 26)).otherwise(c)
 
-        return F.array_join(F.transform(characters(half), one), "")
+        # as a variable of its own the stream is made once, not for each character
+        return F.get(F.transform(F.array(stream), lambda b: F.array_join(F.transform(characters(half), lambda c, i: one(c, i, b)), "")), 0)
 
     def step(acc: Column, i: Column) -> Column:
         stream = lambda half: F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), half), 512)
