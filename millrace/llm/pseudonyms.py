@@ -105,7 +105,8 @@ def digits(s: Column) -> Column:
 def laid_out(form: Column, value: Column, taken: str = "[0-9]") -> Column:
     """The characters of value in place of the form's characters of the class `taken`."""
     nth = lambda i: F.regexp_count(F.substr(form, F.lit(1), i + 1), F.lit(taken))
-    return F.array_join(F.transform(characters(form), lambda c, i: F.when(c.rlike(taken), F.substr(value, nth(i), F.lit(1))).otherwise(c)), "")
+    # value as a variable of its own is made once, not for each character
+    return F.get(F.transform(F.array(value), lambda v: F.array_join(F.transform(characters(form), lambda c, i: F.when(c.rlike(taken), F.substr(v, nth(i), F.lit(1))).otherwise(c)), "")), 0)
 
 
 def luhn_sum(s: Column) -> Column:
