@@ -132,20 +132,35 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     n = partitions(spark)
-    # Part p holds the ids from bounds[p - 1] down to above bounds[p]. Bounds are ids that occur, so bounds[p - 1] is the
-    # first of its part; there are as many as partitions, whatever the input's size.
+    # Part p holds the ids up to bounds[p - 1] and above bounds[p]; there are as many as partitions, whatever the input's size. The
+    # bounds are estimates, which need not occur, so each part's first id and which parts have rows are found besides.
     shares = F.array(*(F.lit(i / n) for i in range(1, max(n, 2))))
-    found = rows.agg(F.percentile_approx("doc_id", shares, F.lit(max(10_000, 10 * n))).alias("q"), F.max("doc_id").alias("top")).collect()[0]
-    top = found["top"]
-    bounds = np.array(sorted({q for q in found["q"] or [] if q < top}, reverse=True)[: n - 1], np.int64)
-    last = len(bounds)
+    found = rows.agg(F.percentile_approx("doc_id", shares, F.lit(max(10_000, 10 * n))).alias("q")).collect()[0]
+    bounds = np.array(sorted(set(found["q"] or []), reverse=True)[: n - 1], np.int64)
+
+    def part_of(ids: np.ndarray) -> np.ndarray:
+        return np.searchsorted(-bounds, -ids, side="right")
+
+    @F.arrow_udf("int")
+    def parts(ids: pa.Array) -> pa.Array:
+        return pa.array(part_of(ids.to_numpy(zero_copy_only=False).astype(np.int64)).astype(np.int32))
+
+    known_ids = rows.where("doc_id is not null").select("doc_id")
+    firsts = {r["part"]: r["first"] for r in known_ids.groupBy(parts("doc_id").alias("part")).agg(F.max("doc_id").alias("first")).collect()}
+    present = np.array(sorted(firsts), np.int64)
+    first_ids = np.array([firsts[p] for p in present.tolist()], np.int64)
+    last = max(0, len(present) - 1)
 
     @F.arrow_udf("array<int>")
     def slots(ids: pa.Array) -> pa.Array:
-        """2 * part; and 2 * part + 1 of the part before, where the id is the first of its part (before the first: the last)."""
+        """2 * part; and 2 * part + 1 of the part before, where the id is the first of its part (before the first: the last).
+        Parts are numbered among those that have rows; null ids are in the last one."""
         known, null = ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False)
-        part = np.where(null, last, np.searchsorted(-bounds, -known, side="right"))
-        first = null if top is None else ~null & ((known == top) | np.isin(known, bounds))
+        if len(present):
+            part = np.where(null, last, np.minimum(np.searchsorted(present, part_of(known)), last))
+            first = ~null & (known == first_ids[part])
+        else:
+            part, first = np.zeros(len(known), np.int64), null
         size = 1 + first
         at = np.cumsum(size) - size
         out = np.zeros(int(size.sum()), np.int32)

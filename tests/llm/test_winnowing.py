@@ -88,3 +88,13 @@ def test_matches_of_31_code_points_are_found():
         part = text(31)
         a, b = (text(r.randrange(300)) + part + text(r.randrange(300)) for _ in range(2))
         assert set(w.fingerprint(a)[1].tolist()) & set(w.fingerprint(b)[1].tolist())
+
+
+def test_no_row_is_lost_where_estimated_bounds_do_not_occur(spark):
+    """Ids beyond what doubles hold, beside a null one: each row comes, edited with the one that follows it."""
+    rows = [(2**53 + 2 * i + 1, f"text {i} of a few words {i * i}") for i in range(60)] + [(None, "no id at all")]
+    got = {r["doc_id"]: r for r in w.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    order = rows[:-1][::-1] + rows[-1:]
+    assert len(got) == 61
+    for (i, text), (_, following) in zip(order, order[1:] + order[:1]):
+        assert got[i]["edited_sha256"] == hashlib.sha256(w.edited(text, following).encode()).hexdigest()
