@@ -1,8 +1,8 @@
 """Mixing sources to target weights by capped water-filling.
 
 Each source's target is min(cap, level * weight), where cap is `epochs` times its size and the one level makes the
-targets sum to the mix. That is what clamping at the caps and resharing the excess by weight converges to. The level
-comes in closed form from running sums over the sources ordered by cap / weight.
+targets sum to the mix. Sources are clamped at their caps and the excess is reshared by weight until no more are above;
+each round is one sum over the table of sources, so no task holds all of them.
 
 A source's documents are then repeated: floor(target / size) whole times each, and once more in a seeded order until the
 target is reached; the document at the boundary gives the fractional repetition, its first words. So each source's taken
@@ -28,22 +28,49 @@ BUCKETS_HEX = 3
 BROADCAST_ROWS = 100_000
 
 
-def targets(sizes: DataFrame, weights: Sequence[float], share: float, epochs: float) -> DataFrame:
-    """(source, source_size, target) from (source, size) rows; weights repeat over the sources by code point, null last.
+def ranked(sources: DataFrame) -> DataFrame:
+    """sources, a row each, with `rank`, their place from 0 by code point, null last. The sort is spread over the tasks; what
+    goes through one window is a row for each task."""
+    s = kept(sources.orderBy(F.col("source").asc_nulls_last()).withColumn("at", F.monotonically_increasing_id()))
+    # such an id is the part's number, then the row's place in it
+    s = s.select("*", F.shiftright("at", 33).alias("part"))
+    parts = s.groupBy("part").agg(F.count("*").alias("rows"))
+    before = F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    return s.join(F.broadcast(parts), "part").withColumn("rank", F.col("before") + F.col("at") - F.shiftleft("part", 33)).select(*sources.columns, "rank")
+
+
+def water_level(sources: DataFrame, share: float) -> float | None:
+    """The level at which the targets of sources (source_size, cap, weight) sum to the mix; None if no cap is out of reach.
 
-    One row per source goes through the windows over all sources; rows of documents are summed before.
+    Round by round, sources whose cap is below the level are clamped and the excess is reshared by weight, which raises the level.
+    This is Newton's iteration on a concave piecewise linear function: each round at least quarters the product of the
+    excess and the weights it is shared by, so the rounds grow with the logarithm of the sizes, not with the sources.
     """
-    s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    s = s.withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), F.pmod(rank - 1, F.lit(len(weights))) + 1))
+    total, weights = sources.agg(F.sum("source_size"), F.sum("weight")).head()
+    if not weights:
+        return None
+    total, clamped = share * float(total), 0
+    level = total / weights
+    while True:
+        over = F.col("cap") / F.col("weight") < F.lit(level)
+        caps, weights, now = sources.agg(F.sum(F.when(over, F.col("cap"))), F.sum(F.when(~over, F.col("weight"))), F.count_if(over)).head()
+        if now == clamped:
+            return level
+        if not weights:
+            return None
+        level, clamped = (total - caps) / weights, now
+
+
+def targets(sizes: DataFrame, weights: Sequence[float], share: float, epochs: float) -> DataFrame:
+    """(source, source_size, target) from (source, size) rows; weights, all above 0, repeat over the sources by code point, null last."""
+    if not weights or min(weights) <= 0:
+        raise ValueError("weights must be above 0")
+    s = ranked(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    s = s.withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod("rank", F.lit(len(weights))) + 1).cast("int")))
     s = s.withColumn("cap", F.lit(float(epochs)) * F.col("source_size"))
-    by_level = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, after, all_rows = by_level.rowsBetween(Window.unboundedPreceding, -1), by_level.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy()
-    total = F.lit(float(share)) * F.sum("source_size").over(all_rows)
-    s = s.withColumn("level", (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-    # the first source whose cap is not reached sets the level; if all caps are, none is needed
-    s = s.withColumn("level", F.min(F.when(F.col("cap") / F.col("weight") >= F.col("level"), F.struct(F.col("cap") / F.col("weight"), "level"))).over(all_rows)["level"])
-    return s.select("source", "source_size", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight"))).alias("target"))
+    level = water_level(s, share)
+    return s.select("source", "source_size", (F.col("cap") if level is None else F.least("cap", F.lit(level) * F.col("weight"))).alias("target"))
 
 
 def order_key(seed: int) -> Column:

@@ -27,6 +27,29 @@ def test_targets(spark, sizes, share):
     assert got == pytest.approx(filled(sizes, (3, 1, 2), share, 2.0))
 
 
+def test_many_sources(spark):
+    """Caps spread over 12 orders of magnitude, one source twice as large as all others: many rounds, ranks over several parts."""
+    sizes = {f"s{i}": int(1.03 ** (i * 7919 % 900)) for i in range(900)} | {None: 3, "": 10**12, "\U0001f600": 5, "\uffff": 5}
+    df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long").repartition(7)
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {r["source"]: r["target"] for r in mixing.targets(df, (3, 1, 2), 1.5, 2.0).collect()}
+        ranks = {r["source"]: r["rank"] for r in mixing.ranked(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert got == pytest.approx(filled(sizes, (3, 1, 2), 1.5, 2.0))
+    assert ranks == {s: i for i, s in enumerate([*sorted(s for s in sizes if s is not None), None])}
+
+
+def test_no_sources_or_no_weight(spark):
+    none = spark.createDataFrame([], "source string, size long")
+    assert mixing.targets(none, (3, 1, 2), 1.5, 2.0).count() == 0
+    with pytest.raises(ValueError):
+        mixing.targets(none, (3, 0), 1.5, 2.0)
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = [(i, " ".join(f"w{j}" for j in range(i % 37)), "en", ["a", "b", "c", None][i % 7 % 4], None) for i in range(800)]
