@@ -9,8 +9,8 @@ its out-of-fold predictions.
 
 Features of a text: its lower-case words, their first four and five letters, and runs of two or more signs; present or not,
 of the whole text. The models are fitted on a bounded sample of labelled documents, `SAMPLE` of them by the hash of
-doc_id, over a bounded vocabulary, the `VOCABULARY` most frequent features of at least `LEAST` documents. Every document
-is scored, where it lies, without a shuffle.
+doc_id. The driver gets the features of at least `LEAST` of these that pass the chi-squared test of some link or fold, all
+of them; the counts for it are summed by the tasks. Every document is scored, where it lies, without a shuffle.
 
 Nulls and edges: a null or empty text has no features and is scored by the models' constants. Labels that are null, or
 whose doc_id is null or missing among the documents, are not used; of several rows of a doc_id one is. Without labelled
@@ -23,6 +23,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import kept, packed, unpacked
 
-SAMPLE, VOCABULARY, LEAST, FOLDS, CHI2, PENALTY = 8000, 60_000, 4, 5, 24.0, 1.0
+SAMPLE, LEAST, FOLDS, CHI2, PENALTY = 8000, 4, 5, 24.0, 1.0
 #: Category and the SQL condition on a row of labels that makes it positive.
 CATEGORIES = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"))
 TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]{2,}")
@@ -171,6 +173,34 @@ def chain(vocabulary: list[str], rows: list[np.ndarray], fold: np.ndarray, label
     return links
 
 
+def telling(one: DataFrame, names: list[str]) -> list[str]:
+    """The features of at least LEAST rows of one (fold, y0, ..., f) that have a chi-squared of CHI2 in what some fold's or the
+    final model of some category is trained on. Only these can get a weight."""
+    kinds = range(len(names))
+    sums = [F.count("*").alias("n"), *(F.sum(f"y{j}").alias(f"y{j}") for j in kinds)]
+    of = {r["fold"]: r for r in one.groupBy("fold").agg(*sums).collect()}
+    own = [F.count("*").alias("n")]
+    for k in range(FOLDS):
+        here = F.col("fold") == k
+        own += [F.count_if(here).alias(f"n_{k}"), *(F.count_if(here & (F.col(f"y{j}") == 1)).alias(f"y{j}_{k}") for j in kinds)]
+    words = one.select("fold", *(f"y{j}" for j in kinds), F.explode("f").alias("w")).groupBy("w").agg(*own).where(F.col("n") >= LEAST)
+    tests = []
+    for out in range(-1, FOLDS):  # -1: all folds
+        inside = [k for k in range(FOLDS) if k != out]
+        n = float(sum(of[k]["n"] for k in inside if k in of))
+        df = sum((F.col(f"n_{k}") for k in inside), F.lit(0.0))
+        for j in kinds:
+            positive = float(sum(of[k][f"y{j}"] for k in inside if k in of))
+            if 0 < positive < n:
+                both = sum((F.col(f"y{j}_{k}") for k in inside), F.lit(0.0))
+                # `chosen` tests again: what differs here by rounding mustn't be lost
+                tests.append(n * (both * n - df * positive) ** 2 >= (CHI2 - 1e-6) * df * (n - df) * positive * (n - positive))
+    if not tests:
+        return []
+    found = words.where(reduce(or_, tests)).select("w", "n")
+    return [r["w"] for r in found.orderBy(F.desc("n"), "w").collect()]
+
+
 def train(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str], ...] = CATEGORIES, sample: int = SAMPLE) -> list[Link]:
     """The chain from a bounded sample of labelled documents; the driver gets numbers of vocabulary entries, not texts."""
     names = [c for c, _ in categories]
@@ -186,9 +216,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str],
             yield b.assign(f=[sorted(features(t)) for t in b["text"]])[["doc_id", "fold", *(f"y{j}" for j in range(len(names))), "f"]]
 
     found = picked.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int")).mapInPandas(cut, "doc_id long, fold int, " + "".join(f"y{j} int, " for j in range(len(names))) + "f array<string>")
-    found = kept(found)
-    words = found.select(F.explode("f").alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(f"n >= {LEAST}").orderBy(F.desc("n"), "w").limit(VOCABULARY)
-    vocabulary = [r["w"] for r in words.select("w").collect()]
+    # of repeated rows of a doc_id one is used; which one doesn't depend on tasks
+    one = kept(found.groupBy("doc_id").agg(F.min(F.struct(*found.columns[1:])).alias("x")).select("doc_id", "x.*"))
+    vocabulary = telling(one, names)
     number = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(vocabulary)})
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,10 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str],
             ids = pa.array([[at[w] for w in f if w in at] for f in b.column(b.num_columns - 1).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids], b.schema.names)
 
-    numbered = found.mapInArrow(numbers, found.schema.simpleString()[7:-1].replace(":", " ").replace("array<string>", "array<int>"))
-    # of repeated rows of a doc_id one is used; the order doesn't depend on tasks
-    one = numbered.groupBy("doc_id").agg(F.min(F.struct(*numbered.columns[1:])).alias("x")).select("doc_id", "x.*")
-    table = one.toPandas().sort_values("doc_id")
+    table = one.mapInArrow(numbers, one.schema.simpleString()[7:-1].replace(":", " ").replace("array<string>", "array<int>")).toPandas().sort_values("doc_id")
     table = table.assign(f=[np.asarray(x, np.int64) for x in table["f"]])
     return chain(vocabulary, list(table["f"]), table["fold"].to_numpy(), table[[f"y{j}" for j in range(len(names))]].to_numpy().reshape(-1, len(names)), names)
 

@@ -68,3 +68,24 @@ def test_reruns_agree(spark):
     links = toxicity.train(docs, labels.where("doc_id % 2 = 0"))
     again = toxicity.train(docs.repartition(3), labels.where("doc_id % 2 = 0").repartition(3))
     assert [x.cut for x in again] == [x.cut for x in links]
+
+
+def test_no_feature_is_lost(spark):
+    """The links are those of a chain over all features of LEAST documents or more, counted here row by row."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = toxicity.train(docs, labels)
+    y = {r["doc_id"]: (int(r["quality"] == 0), int(r["toxic"] == 1)) for r in labels.collect()}
+    rows = docs.join(labels.select("doc_id").distinct(), "doc_id").selectExpr("doc_id", "text", f"pmod(xxhash64(text), {toxicity.FOLDS}) AS fold").orderBy("doc_id").collect()
+    sets = [toxicity.features(r["text"]) for r in rows]
+    counts = {}
+    for f in sets:
+        for w in f:
+            counts[w] = counts.get(w, 0) + 1
+    every = sorted((w for w, n in counts.items() if n >= toxicity.LEAST), key=lambda w: (-counts[w], w))
+    at = {w: i for i, w in enumerate(every)}
+    want = toxicity.chain(every, [np.array(sorted(at[w] for w in f if w in at), np.int64) for f in sets], np.array([r["fold"] for r in rows]), np.array([y[r["doc_id"]] for r in rows]), ["low_quality", "toxic"])
+    for a, b in zip(got, want, strict=True):
+        assert a.category == b.category and a.cut == pytest.approx(b.cut, abs=1e-3)
+        assert a.weights.keys() == b.weights.keys()
+        assert list(a.weights.values()) == pytest.approx([b.weights[w] for w in a.weights], abs=1e-2)
