@@ -15,6 +15,8 @@ from ..session import kept
 
 
 LINES = "*"
+#: Bytes of frequent words up to which they are broadcast; more are joined by a shuffle, whose skew AQE splits.
+BROADCAST_BYTES = 32 << 20
 
 
 def pair_counts(lines: DataFrame, least: int = 10, most: int = LINE_WORDS) -> DataFrame:
@@ -23,9 +25,12 @@ def pair_counts(lines: DataFrame, least: int = 10, most: int = LINE_WORDS) -> Da
     # lines are counted in the same pass, under a mark that no word is; a second pass makes the pairs, and no copy of the text is kept
     words = w.select(F.explode(F.concat("w", F.array(F.lit(LINES)))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where((F.col("n") >= least) | (F.col("word") == LINES))
     words = kept(words.withColumn("id", F.monotonically_increasing_id()))
-    total = words.where(F.col("word") == LINES).agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    total, size = words.agg(F.coalesce(F.sum(F.when(F.col("word") == LINES, F.col("n"))), F.lit(0)), F.coalesce(F.sum(F.octet_length("word") + 48), F.lit(0))).head()
     words = words.where(F.col("word") != LINES)
-    numbered = w.withColumn("line", F.monotonically_increasing_id()).select("line", F.explode("w").alias("word")).join(words.select("word", "id"), "word")
+    ids = words.select("word", "id")
+    # a shuffle would send each occurrence of the most frequent word to one task
+    ids = F.broadcast(ids) if size <= BROADCAST_BYTES else ids
+    numbered = w.withColumn("line", F.monotonically_increasing_id()).select("line", F.explode("w").alias("word")).join(ids, "word")
     kept_words = numbered.groupBy("line").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     pairs = F.flatten(F.transform("ids", lambda a, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     counts = kept_words.where(F.size("ids") > 1).select(F.inline(pairs)).groupBy("a", "b").agg(F.count("*").alias("cnt")).where(F.col("cnt") >= least)

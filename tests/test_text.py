@@ -96,3 +96,11 @@ def test_vint_round_trip():
     numbers = [r.randrange(-(2 ** r.randrange(1, 63)), 2 ** r.randrange(1, 63)) for _ in range(2000)]
     assert vint.decode(vint.encode(numbers)) == numbers
     assert vint.encode([]) == b"" and vint.decode(b"") == []
+
+
+def test_pmi_is_the_same_by_either_join(spark, monkeypatch):
+    """Frequent words are broadcast up to a size, beyond it joined by a shuffle."""
+    lines = spark.createDataFrame([(" ".join(f"w{(i * k) % 13}x" for k in range(1, 6)),) for i in range(200)] + [("",), (None,)], "line string")
+    told = rows_of(cooccurrence.pmi_pairs(lines))
+    monkeypatch.setattr(cooccurrence, "BROADCAST_BYTES", -1)
+    assert told == rows_of(cooccurrence.pmi_pairs(lines)) and told
