@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.llm import nearcopies
@@ -138,3 +139,19 @@ def test_components_in_rounds_and_at_once(spark, monkeypatch):
     assert sorted(map(tuple, components.components(df).collect())) == once
     root = classes(400, [e for e in edges if e[0] != e[1]])
     assert once == [(n, root[n]) for n in sorted({n for a, b in edges if a != b for n in (a, b)})]
+
+
+def test_parts_of_a_long_list_stay_connected():
+    """A list that fills chunks, of sizes that grow slowly to many times the first: neighbours connect it to its end."""
+    n = np.sort(np.concatenate([np.arange(10, 200), np.arange(10, 200)]))
+    th = np.arange(len(n))
+    table = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int64)), pa.array(th), pa.array(n), pa.array(np.zeros(len(n), np.int64)), pa.array(n)], ["h", "th", "n", "pos", "last"])
+    batches = [table.slice(i, 7) for i in range(0, len(n), 7)]
+    posting, nearcopies.POSTING = nearcopies.POSTING, 20
+    try:
+        found = [nearcopies.sharing(*columns, 0.8)[0] for columns in nearcopies.grouped(iter(batches), 50, nearcopies.POSTING + 1)]
+    finally:
+        nearcopies.POSTING = posting
+    assert len(found) > 3
+    a, b = nearcopies.connect(*np.concatenate(found, axis=1))
+    assert len(a) == len(n) - 1
