@@ -91,7 +91,7 @@ def test_against_all_pairs(spark, corpus):
 
 
 def test_blocks_and_lists_lose_nothing(spark, corpus, monkeypatch):
-    for name, value in (("BLOCK", 32), ("HOT", 4), ("HOT_MOST", 50), ("CHUNK", 3000), ("POSTING", 30), ("COLUMNS", 64), ("BROADCAST_ROWS", 3)):
+    for name, value in (("BLOCK", 32), ("HOT", 4), ("HOT_MOST", 50), ("CHUNK", 3000), ("LISTED", 3000), ("PAIRS", 500), ("POSTING", 30), ("COLUMNS", 64), ("BROADCAST_ROWS", 3)):
         monkeypatch.setattr(nearcopies, name, value)
     texts, want = corpus
     assert kept(spark, texts) == want
