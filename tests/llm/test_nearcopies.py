@@ -155,3 +155,42 @@ def test_parts_of_a_long_list_stay_connected():
     assert len(found) > 3
     a, b = nearcopies.connect(*np.concatenate(found, axis=1))
     assert len(a) == len(n) - 1
+
+
+def shuffled(spark, work):
+    """Bytes that work() writes to shuffles."""
+    status = spark._jsc.sc().statusStore()
+    quantiles = spark._sc._gateway.new_array(spark._jvm.double, 0)
+
+    def total() -> int:
+        stages = status.stageList(None, False, False, quantiles, None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = total()
+    work()
+    return total() - before
+
+
+def test_texts_that_stay_are_not_shuffled(spark, monkeypatch, tmp_path):
+    """Where there are too many near copies to be broadcast, the texts of all others stay where they are."""
+    monkeypatch.setattr(nearcopies, "BROADCAST_ROWS", 3)
+    r = random.Random(3)
+    couple = [words(r, 60) for _ in range(20)]
+    texts = [" ".join(t) for t in couple + [changed(r, t, 1) for t in couple]]
+    long = [" ".join(f"{r.getrandbits(2400):x}" for _ in range(6)) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts + long)), "doc_id long, text string").repartition(5)
+    df.write.parquet(f"{tmp_path}/docs")
+    df, kept_rows = spark.read.parquet(f"{tmp_path}/docs"), []
+    moved = shuffled(spark, lambda: kept_rows.extend(nearcopies.drop_near_copies(df).collect()))
+    assert len(kept_rows) == 420
+    assert moved < sum(map(len, long))
+
+
+def test_a_common_passage_makes_no_family(spark):
+    """Texts that only share a passage aren't brought together, wherever the hashes of its shingles lie."""
+    r = random.Random(4)
+    passage = words(r, 30)
+    texts = [" ".join(words(r, 120, 10**6) + passage) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = nearcopies.kept(nearcopies.described(df, 5))
+    assert nearcopies.exact_candidates(df, rows, 5, 0.8).count() == 0
