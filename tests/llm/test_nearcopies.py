@@ -194,3 +194,18 @@ def test_a_common_passage_makes_no_family(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     rows = nearcopies.kept(nearcopies.described(df, 5))
     assert nearcopies.exact_candidates(df, rows, 5, 0.8).count() == 0
+
+
+def test_the_index_holds_the_links_of_the_operator(spark, corpus):
+    """Fingerprints are those of `simhash`, repeats included, and texts that it links are candidates."""
+    from millrace.llm import simhash
+
+    texts = corpus[0] + ["a b c d e " * 30 + f"x{i} y z" for i in range(3)] + ["", " "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = nearcopies.kept(nearcopies.described(df, 5))
+    want = simhash.near_duplicates(df).select("doc_id", "fp", "component_id")
+    assert sorted(map(tuple, rows.select("doc_id", "fp").collect())) == sorted(map(tuple, want.select("doc_id", "fp").collect()))
+    root = {r["node"]: r["root"] for r in nearcopies.components(nearcopies.linked_candidates(rows.select("th", "fp").distinct())).collect()}
+    own = {r["doc_id"]: root.get(r["th"], r["th"]) for r in rows.select("doc_id", "th").collect()}
+    one = {r["doc_id"]: r["component_id"] for r in want.collect()}
+    assert len(set(own.values())) == len(set(one.values())) == len(set((own[i], one[i]) for i in own)) < len(set(texts))
