@@ -209,3 +209,23 @@ def test_the_index_holds_the_links_of_the_operator(spark, corpus):
     own = {r["doc_id"]: root.get(r["th"], r["th"]) for r in rows.select("doc_id", "th").collect()}
     one = {r["doc_id"]: r["component_id"] for r in want.collect()}
     assert len(set(own.values())) == len(set(one.values())) == len(set((own[i], one[i]) for i in own)) < len(set(texts))
+
+
+def test_blocks_meet_in_rounds(spark, monkeypatch):
+    """The sets that are shuffled for pairs of blocks at once have a bound, whatever the number of pairs; no link is lost by it."""
+    for name, value in (("BLOCK", 8), ("ROOM", 1)):
+        monkeypatch.setattr(nearcopies, name, value)
+    r = random.Random(8)
+    texts = [" ".join(t) for t in family(r, 80)]
+    r.shuffle(texts)
+    calls, one = [], nearcopies.verified
+
+    def verified(wanted, *rest):
+        wanted = nearcopies.kept(wanted)
+        calls.append(wanted.selectExpr("sum(n * size(keys))").head()[0] if "keys" in wanted.columns else 0)
+        return one(wanted, *rest)
+
+    monkeypatch.setattr(nearcopies, "verified", verified)
+    assert kept(spark, texts) == set(groups(texts))
+    whole = sum(len(shingles(t)) for t in texts)
+    assert len(calls) > 3 and max(calls) < whole < sum(calls)
