@@ -46,3 +46,29 @@ def test_malformed(docs):
 def test_snippets(spark):
     docs = spark.createDataFrame([(1, "cat " + "x" * 100), (2, "dog")], "doc_id long, text string")
     assert rows_of(retrieval.snippets(retrieval.search_texts(docs, "cat"), docs)) == [(1, "cat " + "x" * 76 + "...")]
+
+
+def test_numbers_of_all_rows_at_once():
+    """Rows are decoded together; what comes after a row's numbers doesn't touch the next row's."""
+    import random
+
+    import numpy as np
+
+    from millrace.functions.vint import decode_each, encode
+
+    r = random.Random(8)
+    for most in (7, 30, 62):
+        rows = [[r.randrange(-(2 ** r.randrange(1, most)), 2 ** r.randrange(1, most)) for _ in range(r.choice([0, 1, 3, 40, 700]))] for _ in range(60)]
+        data = [encode(x) for x in rows]
+        numbers, size = decode_each(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+        assert size.tolist() == list(map(len, rows)) and numbers.tolist() == [n for x in rows for n in x]
+
+
+def test_no_row_of_an_index_is_made_of_single_postings(spark):
+    """What is shuffled is a row for each term and block of a task's documents; a document's rows, in several tasks or nulls, come together."""
+    docs = spark.createDataFrame([(i // 2, "a b a") for i in range(400)] + [(None, "a"), (None, "c")], "doc_id long, text string").repartition(3)
+    shuffled = index._numbered(docs).where("doc is not null").mapInArrow(index._found(True), "term string, block long, data binary")
+    assert shuffled.count() == 6
+    assert rows_of(index.read(index.build(docs))) == sorted(((t, d, n) for t, n in (("a", 4), ("b", 2)) for d in range(200)), key=repr)
+    assert ("a", None, 1) in rows_of(index.postings(docs)) and index.postings(docs).count() == 402
+    assert rows_of(index.read(index.build(docs, only=("b",)))) == sorted((("b", d, 2) for d in range(200)), key=repr)
