@@ -7,30 +7,63 @@ external sort and holds the weights only. What scales out is the number of model
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import tallied
+from ..functions.vint import decode_each, encode_each
+from ..functions.words import octets, slices
 from ..session import kept
 
 DELTA = 0.002
+#: Features that a task looks at at once.
+FEATURES = 200_000
 
 
-def descend(instances: Iterator[tuple[int, list[int]]], delta: float = DELTA) -> dict[int, float]:
-    """Weights after one pass over (y, features); a repeated feature counts and is updated at each occurrence."""
+def descend(instances: Iterator[tuple[int, list[tuple[int, int]]]], delta: float = DELTA) -> dict[int, float]:
+    """Weights after one pass over (y, [(feature, times)]); a repeated feature counts and is updated at each occurrence."""
     w: dict[int, float] = {}
-    for y, features in instances:
-        n = Counter(features)
-        score = sum(w.get(f, 0.0) * k for f, k in n.items())
+    for y, n in instances:
+        score = sum(w.get(f, 0.0) * k for f, k in n)
         gradient = y - (1 / (1 + math.exp(-score)) if score > -700 else 0.0)
-        for f, k in n.items():
+        for f, k in n:
             w[f] = w.get(f, 0.0) + gradient * delta * k
     return w
 
 
+def portions(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The first row, the rows' sizes and the features without nulls of so many rows of a list column as have FEATURES in all."""
+    ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy())))
+    i = 0
+    while i < len(column):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + FEATURES, side="right")) - 1)
+        flat = column.slice(i, j - i).flatten()
+        row, good = np.repeat(np.arange(j - i), np.diff(ends[i : j + 1])), flat.is_valid().to_numpy(zero_copy_only=False)
+        yield i, np.bincount(row[good], minlength=j - i), flat.drop_null().to_numpy().astype(np.int64)
+        i = j
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose last column, of features, becomes bytes: of each distinct feature in order the step from the one before, and its times."""
+    for b in batches:
+        for i, size, f in portions(b.columns[-1]):
+            row, low = np.repeat(np.arange(len(size)), size), -(1 << 31)
+            keys, times = tallied(row << 32 | f - low)
+            row, f = keys >> 32, (keys & 0xFFFFFFFF) + low
+            step = np.diff(f, prepend=0)
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            step[first] = f[first]
+            data, bytes_of = encode_each(np.stack((step, times), axis=1).ravel())
+            ends = np.concatenate(([0], np.cumsum(bytes_of)))[2 * np.searchsorted(row, np.arange(len(size) + 1))]
+            packed = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([*(c.slice(i, len(size)) for c in b.columns[:-1]), packed], b.schema.names)
+
+
 def train(instances: DataFrame, order: str = "docid", delta: float = DELTA, shuffle_seed: int | None = None, model: str | None = None) -> DataFrame:
     """(feature, weight), or (model_id, feature, weight) if `model` names a column: one model for each of its values.
 
@@ -38,12 +71,18 @@ def train(instances: DataFrame, order: str = "docid", delta: float = DELTA, shuf
     it. Null features have no effect.
     """
     key = F.col(order) if shuffle_seed is None else F.xxhash64(F.lit(shuffle_seed), F.col(order))
-    rows = instances.select(F.lit(0).alias("m") if model is None else F.col(model).cast("int").alias("m"), key.alias("k"), F.col(order).alias("o"), (F.col("label") == "spam").cast("int").alias("y"), F.coalesce("features", F.array()).alias("f"))
+    # what is shuffled and sorted are packed counts, as one task reads all of a model's
+    rows = instances.select(F.lit(0).alias("m") if model is None else F.col(model).cast("int").alias("m"), key.alias("k"), F.col(order).alias("o"), (F.col("label") == "spam").cast("int").alias("y"), F.col("features").cast("array<int>").alias("f"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    rows = rows.mapInArrow(_counted, kinds + ", f binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def instances() -> Iterator[tuple[int, int, list[int]]]:
-            for b in batches:
-                yield from zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())
+        def instances() -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+            for b in (p for x in batches for p in slices(x, 2, 1 << 16)):
+                numbers, size = decode_each(*octets(b.column(2)))
+                ends = np.concatenate(([0], np.cumsum(size)))
+                for m, y, i, j in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), ends[:-1], ends[1:]):
+                    yield m, y, list(zip(np.cumsum(numbers[i:j:2]).tolist(), numbers[i + 1 : j : 2].tolist()))
 
         def done(m: int, own: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([m] * len(own), pa.int32()), pa.array([f for f, _ in own], pa.int32()), pa.array([x for _, x in own], pa.float64())], ["model_id", "feature", "weight"])
@@ -53,10 +92,10 @@ def train(instances: DataFrame, order: str = "docid", delta: float = DELTA, shuf
         while row is not None:
             m = row[0]
 
-            def own() -> Iterator[tuple[int, list[int]]]:
+            def own() -> Iterator[tuple[int, list[tuple[int, int]]]]:
                 nonlocal row
                 while row is not None and row[0] == m:
-                    yield row[1] or 0, [f for f in row[2] if f is not None]
+                    yield row[1] or 0, row[2]
                     row = next(rest, None)
 
             yield done(m, sorted(descend(own(), delta).items()))
@@ -89,17 +128,22 @@ def _sums(instances: DataFrame, models: DataFrame, order: list[int]) -> DataFram
     few = models.limit(BROADCAST_WEIGHTS + 1).collect()
     if len(few) <= BROADCAST_WEIGHTS:
         place = {m: i for i, m in enumerate(order)}
-        table: list[dict[int, float]] = [{} for _ in order]
+        known = np.unique(np.array([r["feature"] for r in few if r["feature"] is not None], np.int64))
+        table = np.zeros((len(order), len(known) + 1))  # the last place is that of unknown features
         for r in few:
-            if r["model_id"] in place:
-                table[place[r["model_id"]]][r["feature"]] = r["weight"] or 0.0
-        told = instances.sparkSession.sparkContext.broadcast(table)
+            if r["model_id"] in place and r["feature"] is not None:
+                table[place[r["model_id"]], np.searchsorted(known, r["feature"])] = r["weight"] or 0.0
+        told = instances.sparkSession.sparkContext.broadcast((known, table))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, table = told.value
             for b in batches:
-                features = [f or () for f in b.column(2).to_pylist()]
-                sums = [pa.array([math.fsum(w.get(x, 0.0) for x in f) for f in features], pa.float64()) for w in told.value]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *sums], ["docid", "label", *names])
+                for i, size, f in portions(b.column(2)):
+                    at = np.searchsorted(known, f)
+                    at[np.append(known, 0)[at] != f] = len(known)
+                    ends = np.concatenate(([0], np.cumsum(size))).tolist()
+                    sums = [pa.array([math.fsum(w[at[j:k]].tolist()) for j, k in zip(ends, ends[1:])], pa.float64()) for w in table]
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(size)), b.column(1).slice(i, len(size)), *sums], ["docid", "label", *names])
 
         kind = instances.schema["docid"].dataType.simpleString()
         return instances.select("docid", F.col("label").cast("string").alias("label"), F.col("features").cast("array<int>").alias("features")).mapInArrow(run, f"docid {kind}, label string, " + ", ".join(f"{n} double" for n in names))

@@ -79,3 +79,20 @@ def test_ensemble(spark):
     assert mean == {"a": (-0.333333, "ham"), "b": (1.0, "spam"), "c": (0.0, "ham")}
     with pytest.raises(ValueError):
         linear.ensemble(df, models, "best")
+
+
+def test_features_are_looked_at_in_portions():
+    """A batch of long texts is never laid out whole as objects, and what training shuffles are packed counts."""
+    import numpy as np
+    import pyarrow as pa
+
+    from millrace.functions.vint import decode
+
+    rows = [[(i * k) % 50 for k in range(3000)] for i in range(400)] + [None, [], [7, None, -(2**31), 2**31 - 1, 7]]
+    column = pa.array(rows, pa.list_(pa.int32()))
+    parts = list(linear.portions(column))
+    assert len(parts) > 1 and all(len(f) <= linear.FEATURES for _, _, f in parts) and sum(len(size) for _, size, _ in parts) == len(rows)
+    assert np.concatenate([f for _, _, f in parts]).tolist() == [f for x in rows for f in x or () if f is not None]
+    packed = [x for b in linear._counted(iter([pa.RecordBatch.from_arrays([pa.array(range(len(rows))), column], ["m", "f"])])) for x in b.column(1).to_pylist()]
+    assert sum(map(len, packed)) * 20 < 4 * 400 * 3000
+    assert packed[-3:-1] == [b"", b""] and decode(packed[-1]) == [-(2**31), 1, 2**31 + 7, 2, 2**31 - 8, 1]
