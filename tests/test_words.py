@@ -49,3 +49,15 @@ def test_pairs_of_whole_lines(spark):
     far = spark.createDataFrame([("x " * 120 + "y",)] * 10, "line string")
     assert {(r["x"], r["y"], r["cnt"]) for r in cooccurrence.pmi_pairs(far).collect()} == {("x", "y", 10), ("y", "x", 10)}
     assert cooccurrence.pmi_pairs(far, most=100).count() == 0
+
+
+def test_bigrams_are_counted_where_lines_are_read(spark):
+    """A task's repeated bigrams leave it as one row, and tables of counts are made after the shuffle, none before."""
+    from millrace.operators import bigrams
+
+    lines = spark.createDataFrame([("a b a b",), ("",), ("b",), (None,), ("c",)] * 50, "line string").coalesce(1)
+    rows = lines.select(W.lowered(F.col("line")).alias("line")).mapInArrow(bigrams._neighbours, "left string, right string, cnt long").collect()
+    assert sorted(map(tuple, rows)) == [("a", "b", 100), ("b", "a", 50)]
+    plan = bigrams.counts(lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("RepartitionByExpression") < plan.index("MapInArrow")
+    assert sorted(map(tuple, bigrams.counts(lines).collect())) == [("a", "b", 100), ("b", "a", 50)]
